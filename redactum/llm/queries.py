@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from redactum.llm import packing, token_counts, token_store
+from redactum.llm import decontaminate, language_id, packing, secrets, simhash, token_counts, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op4_packing": packing.op4_packing,
+    "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_language_id": language_id.op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": decontaminate.OP8_SQL,
+}
