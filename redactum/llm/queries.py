@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from redactum.llm import decontaminate, language_id, packing, secrets, simhash, token_counts, token_store
+from redactum.llm import decontaminate, language_id, packing, quality, secrets, simhash, token_counts, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_counts": token_counts.op6_token_counts,
