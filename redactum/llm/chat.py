@@ -196,7 +196,7 @@ def op2_chat_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = spark.sql("SELECT * FROM VALUES ('answer', 'question', 'string', true, 20D, 400D), ('answer', 'chars', 'integer', true, 1D, 1000000D) AS t(name, param, type, required, low, high)")
     calls, results, messages = conversation_calls(turns)
     out = link_tool_calls(calls, results, schemas, messages)
-    return out.select("conv_id", "turn", F.element_at(F.array(F.lit("call"), F.lit("result"), F.lit("message")), F.col("kind") + 1).alias("kind"), "call_id", "position", "linked", F.array_join("errors", ",").alias("errors"), "json")
+    return out.select("conv_id", "turn", F.element_at(F.array(F.lit("call"), F.lit("result"), F.lit("message")), F.col("kind") + 1).alias("kind"), "call_id", "position", F.coalesce("linked", F.lit(False)).alias("linked"), F.array_join("errors", ",").alias("errors"), "json")
 
 
 OP2_SQL = r"""
@@ -207,7 +207,7 @@ i AS (SELECT t.conv_id, t.turn, t.role, t.text, t.asked, a.asked IS NOT NULL AS
              CASE role WHEN 'user' THEN 'call_' || t.conv_id || '_' || t.turn WHEN 'assistant' THEN 'call_' || t.conv_id || '_' || t.asked END AS call_id
       FROM t LEFT JOIN answered a ON t.conv_id = a.conv_id AND t.turn = a.asked)
 SELECT conv_id, turn, kind, call_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position,
-       CASE kind WHEN 'call' THEN has_result WHEN 'result' THEN asked IS NOT NULL END AS linked,
+       CASE kind WHEN 'call' THEN has_result WHEN 'result' THEN asked IS NOT NULL ELSE false END AS linked,
        CASE WHEN kind = 'call' AND length(text) < 20 THEN 'low:question' WHEN kind = 'call' AND length(text) > 400 THEN 'high:question'
             WHEN kind = 'result' AND asked IS NULL THEN 'orphan:' ELSE '' END AS errors,
        CASE kind WHEN 'call' THEN '{"arguments":{"chars":' || length(text) || ',"question":' || to_json(text) || '},"id":' || to_json(call_id) || ',"name":"answer","type":"call"}'

@@ -187,6 +187,13 @@ def _report(rows: DataFrame, share: int) -> DataFrame:
     ).withColumn("contaminated", (hit > 0) & (share * hit >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of docs, with all their columns, whose id has no contaminated row."""
+    report = decontaminate(docs, items, id_col=id_col, text_col=text_col, window=window, share=share)
+    bad = report.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad, docs[f"`{id_col}`"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
 

@@ -231,6 +231,25 @@ def identify(docs: DataFrame, langs: list[str], model: BiGru, *, id_col: str = "
     return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, langs: list[str], model: BiGru, *, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not `und` and whose score is min_score or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((langs, model))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        names, net = shared.value
+        labeller = Labeller(net, len(names))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in tokens.text_batches(texts):
+                ok = [bool(names) and _LETTER(t) is not None for t in texts[a:b]]
+                best = labeller.documents([t if good else "" for t, good in zip(texts[a:b], ok, strict=True)]).max(axis=1, initial=0)
+                keep = [good and q >= min_score for good, q in zip(ok, best.tolist(), strict=True)]
+                yield batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.small_batches(spark) and common.read_table(spark, sf_dir, "documents")
     langs, model = train(docs)

@@ -124,6 +124,24 @@ def mask_spans(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def mask_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text", length_col: str | None = None, ratio: float = 2.0, mask: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of docs with every span of the texts masked; length_col, if named, follows the new text."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        encoding = _encoding(vocabulary)
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                known = base_spans(text or "")
+                every = sorted(known + random_spans(text or "", encoding, ratio=ratio, known=known))
+                out.append(mask_spans(text, every, mask) if every else text)
+            yield batch.set_column(at, text_col, pa.array(out, pa.string()))
+
+    out = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, docs.schema)
+    return out if length_col is None else out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.small_batches(spark) and common.read_table(spark, sf_dir, "documents")
     return scan(docs, common.tokenizer_path("byte_bpe_50k.tiktoken"))

@@ -149,9 +149,11 @@ def neighbourhood_links(hot: DataFrame, ring: Ring) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3, segments: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3, segments: int = 5, details: bool = False) -> DataFrame:
     """Per row: doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id reachable).
 
+    With details also text_hash (xxhash64 of the text) and group, a number of the component.
+
     A null or wordless text has fingerprint zero and links like any other. Copies share a fingerprint and are compared
     once; repeated rows stay. A null doc_id never names a component: such rows take the smallest id they reach, null
     if they reach none. Other columns are ignored; an empty table gives no rows.
@@ -162,15 +164,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             texts = batch.column(1).to_pylist()
             for a, b in tokens.text_batches(texts):
                 fp = fingerprints(texts[a:b], words_per_shingle=words_per_shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fp.view(np.int64)), batch.column(2)[a:b]], ["doc_id", "fp", "text_hash"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = common.materialize(rows.mapInArrow(run, "doc_id long, fp long"), "fingerprints")
+    rows = common.materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long"), "fingerprints")
     prints = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(fingerprint_links(prints.select("fp"), distance=distance, segments=segments))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", F.col("root").alias("group"))
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["text_hash", "group"] * details)
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, that represent their near-duplicate group: of each group the row of
+    the smallest id (ids before null), then of the smallest text hash; of rows equal in both one stays."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle, distance=distance, details=True)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    lowest = F.lit(-(1 << 63))
+    kept = first.select(F.coalesce("x.doc_id", lowest).alias("_id"), F.col("x.text_hash").alias("_hash"))
+    rows = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), lowest), "_hash": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    return rows.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
