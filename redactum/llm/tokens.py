@@ -14,11 +14,13 @@ from collections import Counter
 from operator import mul
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces held per worker; beyond it the table starts anew, so its memory is bounded.
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 1_500_000
 #: Longer pieces are encoded each time, so that a table entry is small.
 PIECE_LIMIT = 64
 
@@ -30,30 +32,54 @@ _LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ƺ]+").fullmatch
 _ODD_SPACE = re.compile("  |\n\n| \n|\n |\t|\r").search
 
 
-def word_pieces(text: str) -> list[str] | None:
-    """Cuts at white space, for tokenizers that drop it."""
-    return None if _PROVEN(text) else text.split()
+#: Per byte: 1 for an ASCII sign, 2 for a space, 3 for an apostrophe, else 0.
+_SORT = bytes(3 if c == 39 else 2 if c == 32 else 1 if 33 <= c < 127 and not chr(c).isalnum() else 0 for c in range(256))
 
 
-def spaced_pieces(text: str) -> list[str] | None:
-    """Cuts before each single space and around each single newline, for byte-level tokenizers."""
+def _lone_signs(text: str) -> int:
+    """2 if every full stop and comma stands between a letter or digit and no other sign, 1 if one may follow a space."""
+    sort = text.encode("utf-8", "surrogatepass").translate(_SORT)
+    if b"\1\1" in sort or b"\3" in sort:
+        return 0
+    return 1 if b"\2\1" in sort or sort[:1] == b"\1" else 2
+
+
+#: Stands between pieces; it is in no text that is cut.
+CUT = "\x00"
+
+
+def word_cuts(text: str) -> str | None:
+    """Cuts at white space and around lone stops and commas, for tokenizers that drop white space and lower-case."""
+    if _PROVEN(text) or "<|" in text:
+        return None
+    text = text.lower()
+    if _lone_signs(text):
+        text = text.replace(",", " , ").replace(".", " . ")
+    return text.replace("\n", CUT).replace(" ", CUT).replace("\t", CUT).replace("\r", CUT)
+
+
+def spaced_cuts(text: str) -> str | None:
+    """Cuts before single spaces, around single newlines and lone stops and commas, for byte-level tokenizers."""
     if _PROVEN(text) or _ODD_SPACE(text):
         return None
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+    if _lone_signs(text) == 2:
+        text = text.replace(",", "\x00,\x00").replace(".", "\x00.\x00")
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
 
 
 class PieceTable:
     """What the library makes of each piece: its ids as bytes or, with counts_only, their number. Both add up."""
 
-    def __init__(self, path: str, pieces, counts_only: bool = False) -> None:
+    def __init__(self, path: str, cuts, counts_only: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces, self.counts_only = pieces, counts_only
+        self.cuts, self.counts_only = cuts, counts_only
         self.code = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.edge: np.ndarray | None = None
         self.empty = 0 if counts_only else b""
         self.table = {"": self.empty}
 
@@ -61,9 +87,27 @@ class PieceTable:
         code, encoded = self.code, self.library.encode_batch(texts, add_special_tokens=False)
         return [len(e) for e in encoded] if self.counts_only else [array(code, e.ids).tobytes() for e in encoded]
 
+    def words(self, words: list[str]) -> list:
+        """As whole(), for words of letters only: one call for all, cut where the vocabulary marks a word's edge."""
+        if self.edge is None:
+            mark = (lambda t: t.endswith("</w>")) if self.cuts is word_cuts else (lambda t: t.startswith("\u0120"))
+            self.edge = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+            self.edge[[i for t, i in self.library.get_vocab().items() if mark(t)]] = True
+        text = " ".join(words) if self.cuts is word_cuts else "".join(words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self.whole(words)
+        ends = at + 1 if self.cuts is word_cuts else np.append(at[1:], len(ids))
+        if self.counts_only:
+            return np.diff(ends, prepend=0).tolist()
+        data, w = ids.tobytes(), self.dtype.itemsize
+        stops = (ends * w).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: distinct pre-tokens with their frequencies, joined to the counts and summed."""
-        frequencies = [None if (p := self.pieces(t)) is None else Counter(p) for t in texts]
+        frequencies = [None if (p := self.cuts(t)) is None else Counter(p.split(CUT)) for t in texts]
         out = [0] * len(texts)
         if rest := [i for i, f in enumerate(frequencies) if f is None]:
             for i, n in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
@@ -85,47 +129,58 @@ class PieceTable:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        joined = [self.cuts(t) for t in texts]
         out: list[bytes] = [b""] * len(texts)
-        if rest := [i for i, p in enumerate(cut) if p is None]:
+        if rest := [i for i, j in enumerate(joined) if j is None]:
             for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
                 out[i] = ids
-        need: set[str] = set()
-        for p in cut:
-            if p:
-                need.update(p)
-        table = self._known(need)
-        get = table.__getitem__
-        for i, p in enumerate(cut):
-            if p:
-                out[i] = b"".join(map(get, p))
+        if fast := [i for i, j in enumerate(joined) if j is not None]:
+            lists = pc.split_pattern(pa.array([joined[i] for i in fast], pa.large_string()), CUT)
+            encoded = lists.values.dictionary_encode()
+            distinct = encoded.dictionary.to_pylist()
+            table = self._known(set(distinct))
+            values = [table[p] for p in distinct]
+            ids = np.frombuffer(b"".join(values), self.dtype)
+            size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+            first = np.cumsum(size) - size
+            at = encoded.indices.to_numpy()
+            n = size[at]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            take = np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])
+            data = ids[take].tobytes()
+            stops = (ends[lists.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+            for i, a, b in zip(fast, stops, stops[1:], strict=False):
+                out[i] = data[a:b]
         return out
 
     def _known(self, need: set[str]) -> dict:
         """A table that holds every piece of `need`; new ones are put together from letters and signs where they can be."""
         if len(self.table) > TABLE_LIMIT:
             self.table = {"": self.empty}
-        table, lower = self.table, self.pieces is word_pieces
+        table = self.table
         missing = list(need - table.keys())
         heads, tails, rest = [], [], []
         for piece in missing:
             word = piece.rstrip(_SIGNS)
             if _LETTERS(word):
-                heads.append(word.lower() if lower else word)
+                heads.append(word)
                 tails.append(piece[len(word) :])
             else:
                 heads.append(None)
                 tails.append("")
                 rest.append(piece)
-        new = set(heads)
-        new.discard(None)
-        new.update(tails, rest)
-        fresh = list(new - table.keys())
+        word_like = set(heads)
+        word_like.discard(None)
+        if self.cuts is spaced_cuts:
+            rest += [w for w in word_like if w[0] != " "]
+            word_like = {w for w in word_like if w[0] == " "}
         extra: dict = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for piece, ids in zip(part, self.whole(part), strict=True):
-                (table if len(piece) <= PIECE_LIMIT else extra)[piece] = ids
+        for fresh, measure in ((word_like - table.keys(), self.words), ({*rest, *tails} - table.keys(), self.whole)):
+            fresh = list(fresh)
+            for at in range(0, len(fresh), 20_000):
+                part = fresh[at : at + 20_000]
+                for piece, value in zip(part, measure(part), strict=True):
+                    (table if len(piece) <= PIECE_LIMIT else extra)[piece] = value
         if extra:
             table = table | extra
         for piece, word, signs in zip(missing, heads, tails, strict=True):
@@ -141,7 +196,7 @@ def encoder(path: str, kind: str, counts_only: bool = False) -> PieceTable:
     """The worker's own table; kind 'word' or 'spaced' names the cuts."""
     key = (path, kind, counts_only)
     if key not in _TABLES:
-        _TABLES[key] = PieceTable(path, {"word": word_pieces, "spaced": spaced_pieces}[kind], counts_only)
+        _TABLES[key] = PieceTable(path, {"word": word_cuts, "spaced": spaced_cuts}[kind], counts_only)
     return _TABLES[key]
 
 
