@@ -137,8 +137,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     frequencies = common.materialize(frequencies, "frequencies")
     chosen = common.materialize(seeds(shingles, frequencies, window), "seeds")
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    found = None
-    for block in _blocks(chosen):
+    found, blocks = None, list(_blocks(chosen))
+    if len(blocks) > 1:  # each pass must number the rows alike
+        rows = common.materialize(rows, "rows")
+    for block in blocks:
         part = _occurrences(rows, block, window)
         found = part if found is None else found.unionByName(part)
     if found is None:

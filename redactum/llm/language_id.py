@@ -216,9 +216,9 @@ def identify(docs: DataFrame, langs: list[str], model: BiGru, *, id_col: str = "
         names, net = shared.value
         labeller = Labeller(net, len(names))
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in tokens.text_batches(texts):
-                part = [t or "" for t in texts[a:b]]
+                part = texts[a:b]
                 ok = [bool(names) and _LETTER(t) is not None for t in part]
                 q = labeller.documents([t if good else "" for t, good in zip(part, ok, strict=True)])
                 best = q.argmax(axis=1) if names else []
