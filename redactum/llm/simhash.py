@@ -142,7 +142,7 @@ def neighbourhood_links(hot: DataFrame, ring: Ring) -> DataFrame:
         free = [b for b in range(64) if not ring.key_mask(key) >> b & 1]
         flips = lambda most, free=free: [_signed(sum(1 << b for b in c)) for n in range(most + 1) for c in combinations(free, n)]
         rows = hot.where(F.col("k") == k).select("fp")
-        at = lambda most, flips=flips, rows=rows: rows.select("fp", F.explode(F.array(*map(F.lit, flips(most)))).alias("x")).select("fp", F.col("fp").bitwiseXOR("x").alias("at"))
+        at = lambda most, flips=flips, rows=rows: rows.select("fp", F.explode(F.lit(flips(most))).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("at"))
         centre = at(near).groupBy("at").agg(F.min("fp").alias("v"))
         links = at(ring.distance - near).withColumnRenamed("fp", "u").join(centre, "at").select("u", "v").where("u <> v").distinct()
         out = links if out is None else out.unionByName(links)
