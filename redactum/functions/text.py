@@ -15,6 +15,11 @@ MONTHS = "january february march april may june july august september october no
 SALTS = ("hydrochloride", "sodium", "potassium", "sulfate", "acetate", "maleate")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column) -> Column:
     """Runs of ASCII white space become one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))

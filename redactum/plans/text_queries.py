@@ -153,10 +153,10 @@ def _anchors(read, spark):
 
 
 @query("C13_bigram_candidates", """
-WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z]+') AS w FROM part)
+WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z]+') AS w FROM part)
 SELECT p_partkey, len(list_distinct(list_filter(w, lambda t: len(t) > 2))) + len(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS candidates FROM w""")
 def _bigrams(read, spark):
-    return read("part").select("p_partkey", F.size(T.bigram_candidates(F.col("p_type"))).cast("long").alias("candidates"))
+    return read("part").select("p_partkey", F.size(T.bigram_candidates(F.col("p_name"))).cast("long").alias("candidates"))
 
 
 @query("C17_distance_bucket", "SELECT event_id, CASE WHEN d = 0 THEN 0 ELSE CAST(sign(d) AS INTEGER) * least(8, CAST(floor(log2(abs(d))) AS INTEGER) + 1) END AS bucket FROM (SELECT event_id, CAST(user_id AS BIGINT) - 75 AS d FROM events)")
