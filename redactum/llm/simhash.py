@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -108,7 +109,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(prints: DataFrame, *, distance: int = 3, segments: int = 5, limit: int = BUCKET_LIMIT) -> DataFrame:
+def segments_for(n: int, distance: int) -> int:
+    """The fewest segments with which n random fingerprints make at most about one chance pair each; links do not depend on it."""
+    m = distance + 2
+    while n * comb(m, distance) > 2 ** (64 * (m - distance) / m) and m < 2 * distance + 4:
+        m += 1
+    return m
+
+
+def fingerprint_links(prints: DataFrame, *, distance: int = 3, segments: int | None = None, limit: int = BUCKET_LIMIT) -> DataFrame:
     """prints (fp), distinct longs. Links (u, v) that connect all fingerprints within `distance` bits, directly or not.
 
     Each fingerprint is dealt to a key for every set of exact segments. Keys of up to `limit` fingerprints are compared
@@ -116,7 +125,7 @@ def fingerprint_links(prints: DataFrame, *, distance: int = 3, segments: int = 5
     at most 3 bits exactly if a value lies within 1 bit of one and 2 bits of the other, so each meets its partners at
     such values, a fixed number for each fingerprint, and a link to the smallest one there connects them all.
     """
-    ring = Ring(distance, segments)
+    ring = Ring(distance, segments or segments_for(prints.count(), distance))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(ring.key_mask(key)))).alias("part")) for k, key in enumerate(ring.keys)])
     dealt = common.materialize(prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.part"), "keys")
     sizes = common.materialize(dealt.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -149,7 +158,7 @@ def neighbourhood_links(hot: DataFrame, ring: Ring) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3, segments: int = 5, details: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3, segments: int | None = None, details: bool = False) -> DataFrame:
     """Per row: doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id reachable).
 
     With details also text_hash (xxhash64 of the text) and group, a number of the component.
