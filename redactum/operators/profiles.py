@@ -111,14 +111,19 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
+def against_all(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A stated query set against all rows, in blocks: rows are dealt to blocks by the hash of `key`, each query visits
+    every block, and the two meet by an equi join, so neither side is broadcast or gathered."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+
+
 def retrieve(queries: DataFrame, index: DataFrame, *, floor: float = 0.7, k: int = 5) -> DataFrame:
     """queries (query, v), index (row, canonical, v), unit vectors. (query, canonical, score): rows from `floor` on, the
-    best k rows first, then the best of each canonical.
-
-    The query set meets every index row; it is the smaller side by contract.
-    """
+    best k rows first, then the best of each canonical."""
     q = queries.select("query", F.col("v").alias("_q"))
-    rows = index.join(F.broadcast(q), F.lit(True)).select("query", "row", "canonical", dot(F.col("_q"), F.col("v")).alias("score")).where(F.col("score") >= floor)
+    rows = against_all(q, index, "row").select("query", "row", "canonical", dot(F.col("_q"), F.col("v")).alias("score")).where(F.col("score") >= floor)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "row")
     return rows.withColumn("_r", F.row_number().over(w)).where(f"_r <= {k}").groupBy("query", "canonical").agg(F.max("score").alias("score"))
 
