@@ -72,9 +72,9 @@ def crc_u32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def small_batches(spark: SparkSession):
+def small_batches(spark: SparkSession, rows: int = 1000):
     """Bound the Arrow batches handed to Python: whole texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 

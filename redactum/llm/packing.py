@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int,
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.text_batches(texts):
+            for a, b in tokens.text_batches(texts, tokens.ENCODE_BATCH):
                 out: list[list] = [[] for _ in range(7)]
                 for key, ids in zip(keys[a:b], e.encode(texts[a:b]), strict=True):
                     ids += tail
@@ -168,5 +168,5 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.small_batches(spark) and common.read_table(spark, sf_dir, "documents")
+    docs = common.small_batches(spark, 2000) and common.read_table(spark, sf_dir, "documents")
     return pack(docs, common.tokenizer_path("byte_bpe_50k.json"))

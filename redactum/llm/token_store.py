@@ -170,7 +170,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
         keys, counts, out = [], [], None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.text_batches(texts):
+            for a, b in tokens.text_batches(texts, tokens.ENCODE_BATCH):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.ids")
@@ -270,6 +270,6 @@ def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> dict[int |
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/tokens"
-    docs = common.small_batches(spark) and common.read_table(spark, sf_dir, "documents")
+    docs = common.small_batches(spark, 2000) and common.read_table(spark, sf_dir, "documents")
     write_store(docs, path, common.tokenizer_path("word_bpe_49k.json"))
     return read_store(spark, path)

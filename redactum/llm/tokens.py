@@ -20,7 +20,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces held per worker; beyond it the table starts anew, so its memory is bounded.
-TABLE_LIMIT = 1_500_000
+TABLE_LIMIT = 1_000_000
+#: Characters encoded together: the more, the fewer pieces are looked up again.
+ENCODE_BATCH = 10_000_000
 #: Longer pieces are encoded each time, so that a table entry is small.
 PIECE_LIMIT = 64
 
@@ -141,23 +143,23 @@ class PieceTable:
             table = self._known(set(distinct))
             values = [table[p] for p in distinct]
             ids = np.frombuffer(b"".join(values), self.dtype)
-            size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-            first = np.cumsum(size) - size
+            size = np.fromiter(map(len, values), np.int32, len(values)) // self.dtype.itemsize
+            first = np.cumsum(size, dtype=np.int32) - size
             at = encoded.indices.to_numpy()
             n = size[at]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            take = np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])
+            ends = np.concatenate(([0], np.cumsum(n, dtype=np.int32))).astype(np.int32)
+            take = np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)
             data = ids[take].tobytes()
-            stops = (ends[lists.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+            stops = (ends[lists.offsets.to_numpy()].astype(np.int64) * self.dtype.itemsize).tolist()
             for i, a, b in zip(fast, stops, stops[1:], strict=False):
                 out[i] = data[a:b]
         return out
 
     def _known(self, need: set[str]) -> dict:
         """A table that holds every piece of `need`; new ones are put together from letters and signs where they can be."""
-        if len(self.table) > TABLE_LIMIT:
-            self.table = {"": self.empty}
         table = self.table
+        if len(table) > TABLE_LIMIT:  # what these texts use stays
+            table = self.table = {"": self.empty} | {p: table[p] for p in need & table.keys()}
         missing = list(need - table.keys())
         heads, tails, rest = [], [], []
         for piece in missing:
