@@ -36,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 2048 tokens."""
-    common.small_batches(spark)
+    common.small_batches(spark, 2000)
     return packing.pack(docs, common.tokenizer_path("byte_bpe_50k.json"))
 
 
