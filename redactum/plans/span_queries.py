@@ -23,6 +23,21 @@ def with_spans(body: str, names=tuple(patterns.PATTERNS)) -> str:
     return f'WITH s0 AS ({span_sql(names)}), s AS (SELECT *, CAST(start + len(surface) AS INTEGER) AS "end" FROM s0) {body}'
 
 
+_OVER = 'k.start < x[1]."end" AND x[1].start < k."end"'
+#: Overlap resolution as two ordered folds over one-element lists.
+RESOLVED = f"""p1 AS (SELECT doc_id, list([{{start: start, "end": "end", surface: surface, type: type, score: score}}] ORDER BY start - "end", -score, start, "end", type, surface) AS l FROM s GROUP BY doc_id),
+k1 AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.type = x[1].type AND {_OVER})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM p1),
+p2 AS (SELECT doc_id, list([k] ORDER BY -greatest(k.score, 0.9), k.start - k."end", k.start, k."end", k.type, k.surface) AS l FROM k1 GROUP BY doc_id),
+r AS (SELECT doc_id, k.start AS start, k."end" AS "end", k.surface AS surface, k.type AS type, k.score AS score FROM (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_OVER})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM p2))"""
+REDACTED = f"""{RESOLVED},
+n AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS pe, row_number() OVER (PARTITION BY doc_id, type ORDER BY start DESC, "end" DESC) AS i FROM r),
+red AS (SELECT d.doc_id, d.source, CASE WHEN max(n."end") IS NULL THEN any_value(text) ELSE string_agg(text[pe + 1:n.start] || '<' || n.type || '_' || i || '>', '' ORDER BY n.start) || any_value(text)[max(n."end") + 1:] END AS redacted FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, d.source)"""
+
+
+def with_resolved(body: str, parts: str = RESOLVED) -> str:
+    return with_spans("SELECT 1").removesuffix(" SELECT 1") + f", {parts} {body}"
+
+
 def _spans(read, *names):
     return patterns.detect(read("documents"), {n: patterns.PATTERNS[n] for n in names} if names else None)
 
@@ -42,7 +57,7 @@ def _(read, spark):
     return read("documents").groupBy("source").agg(*[F.sum(F.regexp_count("text", F.lit(p))).alias(n) for n, (_, p, _) in patterns.PATTERNS.items()])
 
 
-@query("E1_resolve_overlaps")
+@query("E1_resolve_overlaps", with_resolved("SELECT *, 'pattern' AS source FROM r"))
 def _(read, spark):
     return spans.resolve(_spans(read))
 
@@ -282,7 +297,10 @@ def _(read, spark):
     return probes.tags_to_spans(read("events").select("user_id", "event_id", tag.alias("tag")), key="user_id", at="event_id", tag="tag")
 
 
-@query("flagship_leak_report")
+_ATTACK = f"attack AS (SELECT red.doc_id, red.source, count(r.surface) AS spans, coalesce(sum(CASE WHEN contains({CANON.format('redacted')}, {CANON.format('r.surface')}) AND {CANON.format('r.surface')} <> '' THEN 1 ELSE 0 END), 0) AS leaks FROM red LEFT JOIN r ON r.doc_id = red.doc_id GROUP BY red.doc_id, red.source)"
+
+
+@query("flagship_leak_report", with_resolved("SELECT source, count(*) AS documents, CAST(sum(spans) AS BIGINT) AS spans, CAST(sum(leaks) AS BIGINT) AS leaks, coalesce(round_even(1 - avg(CASE WHEN leaks > 0 THEN 1.0 ELSE 0 END), 6), 1.0) AS realized_privacy FROM attack GROUP BY source", f"{REDACTED}, {_ATTACK}"))
 def _(read, spark):
     """Detect, resolve, redact: surfaces that survive redaction and realised privacy, by source."""
     red, s = _redacted(read)
