@@ -84,3 +84,8 @@ def mean_states(states: DataFrame) -> DataFrame:
 def readable_level(levels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """levels (key, pos, score). (key, pos): the coarsest level that is still readable."""
     return levels.where(F.col("score") >= threshold).groupBy("key").agg(F.max("pos").alias("pos"))
+
+
+def word_count(text: pd.Series) -> pd.Series:
+    """Stand-in judge, reader or generator: the words of its prompt."""
+    return text.fillna("").str.split().str.len().astype("int64")

@@ -58,13 +58,17 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return t.select("type", "canonical", "r.aliases", "r.levels", "r.count")
 
 
-def stanzas(spark: SparkSession, path: str) -> DataFrame:
-    """Ontology terms of an OBO file: id, name, synonyms, parents; a stanza is a record."""
-    text = spark.read.option("lineSep", "\n[").text(path).where(F.col("value").startswith("Term]"))
+def stanza_fields(text: DataFrame) -> DataFrame:
+    """Terms of an ontology in stanza form (value: one stanza): id, name, synonyms, parents."""
     every = lambda p: F.regexp_extract_all("value", F.lit(p))
     return text.select(F.regexp_extract("value", r"(?m)^id: (\S+)", 1).alias("id"), F.regexp_extract("value", r"(?m)^name: (.+)$", 1).alias("name"), every(r'(?m)^synonym: "([^"]*)"').alias("synonyms"), every(r"(?m)^is_a: (\S+)").alias("parents"))
 
 
+def stanzas(spark: SparkSession, path: str) -> DataFrame:
+    """Ontology terms of an OBO file; a stanza is a record."""
+    return stanza_fields(spark.read.option("lineSep", "\n[").text(path).where(F.col("value").startswith("Term]")))
+
+
 def order_lines(text: DataFrame) -> DataFrame:
     """Fixed-layout code lines (order, code, valid, descriptions): valid seven-character codes with the last description."""
     p = F.split("value", r"[ ]+", 4)
