@@ -253,3 +253,57 @@ def test_streams_end_where_batches_do(spark, tmp_path):
     q.awaitTermination()
     want = {r.user_id: r.n for r in events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).collect()}
     assert {r.user_id: r.failures for r in spark.table("retries").collect()} == want
+
+
+def test_anchor_walks_never_share_a_fill(spark):
+    from redactum.operators import environment
+
+    rows = [("d", i, fills) for i, fills in enumerate([["a", "b", "c"], ["A", "b"], ["a"], None, []])]
+    got = environment.anchor_walks(spark.createDataFrame(rows, "doc string, position int, fills array<string>")).collect()
+    walks = {}
+    for r in sorted(got, key=lambda r: r.position):
+        walks.setdefault(r.walk, []).append(r.fill)
+    assert walks["finest"] == ["a", "b", None, None, None] and walks["coarsest"] == ["c", "b", "a", None, None]
+    assert all(len({f.lower() for f in w if f}) == len([f for f in w if f]) for w in walks.values())
+
+
+def test_fuzzy_matches(spark):
+    left = spark.createDataFrame([(1, "acute renal failure"), (2, "blue river"), (3, "x")], "id int, surface string")
+    right = spark.createDataFrame([("a", "renal failure"), ("b", "acute renal failures"), ("c", "green river bank"), ("d", "y")], "row string, surface string")
+    got = {(r.id, r.row): round(r.score, 2) for r in profiles.fuzzy_matches(left, right, ratio=0.9).collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): 0.97}
+
+
+def test_bootstrap_interval(spark):
+    low, high = qa.bootstrap_interval(spark.range(200).selectExpr("id", "cast(id as double) v").select("id", "v"), "v", samples=200).first()
+    assert 80 < low < 99.5 < high < 120
+    assert tuple(qa.bootstrap_interval(spark.range(0).selectExpr("id", "cast(id as double) v"), "v", samples=10).first()) == (0.0, 0.0)
+
+
+def test_weighted_quantiles_and_menu(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (4.0, 2.0)], "lam double, weight double")
+    assert {r.q: r.value for r in frontier.weighted_quantiles(rows, [0.25, 0.5, 0.9]).collect()} == {0.25: 1.0, 0.5: 2.0, 0.9: 4.0}
+    assert [r.snapped for r in frontier.snap(rows, [1.0, 3.0, 9.0]).orderBy("lam").collect()] == [1.0, 3.0, 3.0]
+
+
+def test_models_see_distinct_misses_only(spark):
+    from redactum.operators import models
+
+    requests = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "id int, prompt string")
+    cache = requests.where("id = 3").select(models.identity("prompt").alias("identity"), F.lit(99).cast("long").alias("answer"))
+    out, new = models.answers(requests, ["prompt"], models.word_count, "long", cache)
+    assert {r.id: r.answer for r in out.collect()} == {1: 2, 2: 2, 3: 99, 4: 0} and new.count() == 2
+
+
+def test_containment():
+    import pandas as pd
+
+    from redactum.operators import curation
+
+    assert curation.containment(pd.Series(["Oslo", "ann smith", "zzz"]), pd.Series(["in OSLO now", "smith ann b", "abc"])).round(2).tolist() == [1.0, 1.0, 0.0]
+
+
+def test_literal_starts(spark):
+    from redactum.operators import curation
+
+    assert column(spark, curation.literal_starts, ("a.b a.b xa.b", "a.b"), ("none", "x"), ("aaa", "aa"), ("abc", "")) == [[0, 4, 9], [], [0], []]
