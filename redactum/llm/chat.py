@@ -176,11 +176,23 @@ def canonical_json() -> Column:
     return F.when(F.col("kind") == CALL, call).when(F.col("kind") == RESULT, result).otherwise(message)
 
 
+def asked_before(turns: DataFrame) -> DataFrame:
+    """turns with `asked`: the last user turn before each, found within spans of turns and carried over from earlier
+    spans, so that a long conversation is shared among tasks."""
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    t = turns.withColumn("span", F.floor(F.coalesce("turn", F.lit(-1)) / SPAN))
+    before = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = t.groupBy("conv_id", "span").agg(F.max(user).alias("m")).select(F.col("conv_id").alias("_c"), F.col("span").alias("_s"), F.max("m").over(before).alias("carried"))
+    within = Window.partitionBy("conv_id", "span").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    near = t.withColumn("near", F.last(user, ignorenulls=True).over(within))
+    on = near["conv_id"].eqNullSafe(carried["_c"]) & (near["span"] == carried["_s"])
+    return near.join(carried, on).withColumn("asked", F.coalesce("near", "carried")).drop("_c", "_s", "span", "near", "carried")
+
+
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A conversation read as tool use: each user turn calls `answer`, each assistant turn returns a result for the last
     user turn before it, and a call needs the call before it. Other turns are plain messages."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns.select("conv_id", "turn", "role", "text").withColumn("asked", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w))
+    t = asked_before(turns.select("conv_id", "turn", "role", "text"))
     name = lambda turn: F.concat(F.lit("call_"), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit("_"), turn.cast("string"))
     arguments = _object(chars=F.coalesce(F.length("text").cast("string"), F.lit("null")), question=_text(F.col("text")))
     user, assistant = F.coalesce(F.col("role") == "user", F.lit(False)), F.coalesce(F.col("role") == "assistant", F.lit(False))

@@ -78,6 +78,14 @@ def test_long_conversations_are_ranked_in_spans(link, monkeypatch):
     assert [r.turn for r in sorted(out, key=lambda r: r.position)] == list(range(40))
 
 
+def test_last_user_turn_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SPAN", 3)
+    roles = ["system", "user", "assistant", "assistant", "assistant", "assistant", "assistant", "user", "user", "assistant"]
+    turns = spark.createDataFrame([(1, i, r, "t", "x") for i, r in enumerate(roles)] + [(None, None, "user", None, "x"), (None, 5, "assistant", "t", "x")], "conv_id long, turn long, role string, text string, asked string")
+    got = {r.turn: r.asked for r in chat.asked_before(turns.drop("asked")).collect() if r.conv_id == 1}
+    assert got == {0: None, 1: None, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 7, 9: 8}
+
+
 def test_no_python_on_the_main_path(spark):
     plan = chat.op2_chat_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
