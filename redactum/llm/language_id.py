@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from redactum.llm import common, tokens
 
 WINDOW = 32
-TABLE_LIMIT = 600_000
+TABLE_LIMIT = 300_000
 _LETTER = re.compile(r"[^\W\d_]").search
 
 
@@ -213,11 +213,12 @@ def identify(docs: DataFrame, langs: list[str], model: BiGru, *, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
 
     def run(batches):
+        tokens.release()
         names, net = shared.value
         labeller = Labeller(net, len(names))
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in tokens.text_batches(texts):
+            for a, b in tokens.text_batches(texts, 2_000_000):
                 part = texts[a:b]
                 ok = [bool(names) and _LETTER(t) is not None for t in part]
                 q = labeller.documents([t if good else "" for t, good in zip(part, ok, strict=True)])
@@ -237,11 +238,12 @@ def keep_identified(docs: DataFrame, langs: list[str], model: BiGru, *, text_col
     at = docs.columns.index(text_col)
 
     def run(batches):
+        tokens.release()
         names, net = shared.value
         labeller = Labeller(net, len(names))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in tokens.text_batches(texts):
+            for a, b in tokens.text_batches(texts, 2_000_000):
                 ok = [bool(names) and _LETTER(t) is not None for t in texts[a:b]]
                 best = labeller.documents([t if good else "" for t, good in zip(texts[a:b], ok, strict=True)]).max(axis=1, initial=0)
                 keep = [good and q >= min_score for good, q in zip(ok, best.tolist(), strict=True)]

@@ -169,6 +169,7 @@ def score(docs: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        tokens.release()
         machine = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()

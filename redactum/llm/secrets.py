@@ -88,10 +88,11 @@ def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     """
 
     def run(batches):
+        tokens.release()
         encoding = _encoding(vocabulary)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in tokens.text_batches([t or "" for t in texts]):
+            for a, b in tokens.text_batches([t or "" for t in texts], 2_000_000):
                 n, digests, spans, masked = ([], [], []), [], [], []
                 for text in texts[a:b]:
                     known = base_spans(text or "")
@@ -129,6 +130,7 @@ def mask_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches):
+        tokens.release()
         encoding = _encoding(vocabulary)
         for batch in batches:
             out = []

@@ -127,7 +127,7 @@ def fingerprint_links(prints: DataFrame, *, distance: int = 3, segments: int | N
     """
     ring = Ring(distance, segments or segments_for(prints.count(), distance))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(ring.key_mask(key)))).alias("part")) for k, key in enumerate(ring.keys)])
-    dealt = common.materialize(prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.part"), "keys")
+    dealt = prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.part")  # cheaper to deal again than to write
     sizes = common.materialize(dealt.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     few = dealt.join(sizes.where(F.col("n") <= limit), ["k", "part"], "left_semi")
 
@@ -169,9 +169,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
+        tokens.release()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in tokens.text_batches(texts):
+            for a, b in tokens.text_batches(texts, 2_000_000):
                 fp = fingerprints(texts[a:b], words_per_shingle=words_per_shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fp.view(np.int64)), batch.column(2)[a:b]], ["doc_id", "fp", "text_hash"])
 

@@ -6,6 +6,7 @@ ids(piece). The library encodes each piece once per table; a text for which the
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -20,9 +21,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces held per worker; beyond it the table starts anew, so its memory is bounded.
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 700_000
 #: Characters encoded together: the more, the fewer pieces are looked up again.
-ENCODE_BATCH = 10_000_000
+ENCODE_BATCH = 6_000_000
 #: Longer pieces are encoded each time, so that a table entry is small.
 PIECE_LIMIT = 64
 
@@ -202,6 +203,19 @@ def encoder(path: str, kind: str, counts_only: bool = False) -> PieceTable:
     return _TABLES[key]
 
 
+def release() -> None:
+    """Free the worker's tables: a reused Python worker must not hold them while another operator runs in it."""
+    if not _TABLES:
+        return
+    _TABLES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library: it keeps what it holds
+
+
 def text_batches(texts: list[str], limit: int = 4_000_000):
     """Ranges of a batch of at most about `limit` characters, one text at least."""
     start = size = 0
