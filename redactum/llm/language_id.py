@@ -19,7 +19,13 @@ from redactum.llm import common, tokens
 
 WINDOW = 32
 TABLE_LIMIT = 300_000
-_LETTER = re.compile(r"[^\W\d_]").search
+_ASCII_LETTER = re.compile("[A-Za-z]").search
+
+
+def has_letter(text: str) -> bool:
+    """A Unicode letter is in the text; numbers, marks and signs are none."""
+    return _ASCII_LETTER(text) is not None or (not text.isascii() and any(map(str.isalpha, text)))
+
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -220,7 +226,7 @@ def identify(docs: DataFrame, langs: list[str], model: BiGru, *, id_col: str = "
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in tokens.text_batches(texts, 2_000_000):
                 part = texts[a:b]
-                ok = [bool(names) and _LETTER(t) is not None for t in part]
+                ok = [bool(names) and has_letter(t) for t in part]
                 q = labeller.documents([t if good else "" for t, good in zip(part, ok, strict=True)])
                 best = q.argmax(axis=1) if names else []
                 lang = [names[best[i]] if good else "und" for i, good in enumerate(ok)]
@@ -244,7 +250,7 @@ def keep_identified(docs: DataFrame, langs: list[str], model: BiGru, *, text_col
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in tokens.text_batches(texts, 2_000_000):
-                ok = [bool(names) and _LETTER(t) is not None for t in texts[a:b]]
+                ok = [bool(names) and has_letter(t) for t in texts[a:b]]
                 best = labeller.documents([t if good else "" for t, good in zip(texts[a:b], ok, strict=True)]).max(axis=1, initial=0)
                 keep = [good and q >= min_score for good, q in zip(ok, best.tolist(), strict=True)]
                 yield batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))

@@ -44,6 +44,10 @@ def test_documents_are_means_over_all_positions():
     assert np.allclose(got[0], want / n) and got[1].sum() == 0 and np.allclose(got[0], got[2])
 
 
+def test_letters():
+    assert [language_id.has_letter(t) for t in ("a", "é", "日", "ª", "1 ² ½ Ⅷ", "_ ! \u0301", "", "\U0001f600")] == [True] * 4 + [False] * 4
+
+
 def test_identify(spark):
     docs = frame(spark)
     langs, model = language_id.train(docs, hidden=12, steps=400)
