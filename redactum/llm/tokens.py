@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces held per worker; beyond it the table starts anew, so its memory is bounded.
-TABLE_LIMIT = 700_000
+TABLE_LIMIT = 1_000_000
 #: Characters encoded together: the more, the fewer pieces are looked up again.
-ENCODE_BATCH = 6_000_000
+ENCODE_BATCH = 8_000_000
 #: Longer pieces are encoded each time, so that a table entry is small.
 PIECE_LIMIT = 64
 
