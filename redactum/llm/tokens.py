@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 TABLE_LIMIT = 1_000_000
 #: Characters encoded together: the more, the fewer pieces are looked up again.
 ENCODE_BATCH = 8_000_000
-#: Longer pieces are encoded each time, so that a table entry is small.
+#: Longer pieces leave the table again, so that its entries are small.
 PIECE_LIMIT = 64
 
 #: Characters for which normalisation form C is the identity and whose case and white space all libraries agree on.
@@ -85,6 +85,7 @@ class PieceTable:
         self.edge: np.ndarray | None = None
         self.empty = 0 if counts_only else b""
         self.table = {"": self.empty}
+        self.long: list[str] = []
 
     def whole(self, texts: list[str]) -> list:
         code, encoded = self.code, self.library.encode_batch(texts, add_special_tokens=False)
@@ -110,12 +111,14 @@ class PieceTable:
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: distinct pre-tokens with their frequencies, joined to the counts and summed."""
+        self._drop_long()
         frequencies = [None if (p := self.cuts(t)) is None else Counter(p.split(CUT)) for t in texts]
         out = [0] * len(texts)
         if rest := [i for i, f in enumerate(frequencies) if f is None]:
             for i, n in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
                 out[i] = n
-        get = self._known(set().union(*(f for f in frequencies if f))).__getitem__
+        used = set().union(*(f for f in frequencies if f))
+        get = self._known(list(used - self.table.keys()), used).__getitem__
         for i, f in enumerate(frequencies):
             if f:
                 out[i] = sum(map(mul, map(get, f), f.values()))
@@ -132,6 +135,7 @@ class PieceTable:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        self._drop_long()
         joined = [self.cuts(t) for t in texts]
         out: list[bytes] = [b""] * len(texts)
         if rest := [i for i, j in enumerate(joined) if j is None]:
@@ -141,8 +145,10 @@ class PieceTable:
             lists = pc.split_pattern(pa.array([joined[i] for i in fast], pa.large_string()), CUT)
             encoded = lists.values.dictionary_encode()
             distinct = encoded.dictionary.to_pylist()
-            table = self._known(set(distinct))
-            values = [table[p] for p in distinct]
+            values = list(map(self.table.get, distinct))
+            if missing := [p for p, v in zip(distinct, values, strict=True) if v is None]:
+                get = self._known(missing, distinct).__getitem__
+                values = [get(p) if v is None else v for p, v in zip(distinct, values, strict=True)]
             ids = np.frombuffer(b"".join(values), self.dtype)
             size = np.fromiter(map(len, values), np.int32, len(values)) // self.dtype.itemsize
             first = np.cumsum(size, dtype=np.int32) - size
@@ -156,12 +162,17 @@ class PieceTable:
                 out[i] = data[a:b]
         return out
 
-    def _known(self, need: set[str]) -> dict:
-        """A table that holds every piece of `need`; new ones are put together from letters and signs where they can be."""
+    def _drop_long(self) -> None:
+        """Pieces of the texts before that are too long to be kept."""
+        for piece in self.long:
+            self.table.pop(piece, None)
+        self.long = []
+
+    def _known(self, missing: list[str], used) -> dict:
+        """A table that holds all of `used`, the missing ones put together from letters and signs where they can be."""
         table = self.table
         if len(table) > TABLE_LIMIT:  # what these texts use stays
-            table = self.table = {"": self.empty} | {p: table[p] for p in need & table.keys()}
-        missing = list(need - table.keys())
+            table = self.table = {"": self.empty} | {p: table[p] for p in used if p in table}
         heads, tails, rest = [], [], []
         for piece in missing:
             word = piece.rstrip(_SIGNS)
@@ -177,18 +188,16 @@ class PieceTable:
         if self.cuts is spaced_cuts:
             rest += [w for w in word_like if w[0] != " "]
             word_like = {w for w in word_like if w[0] == " "}
-        extra: dict = {}
         for fresh, measure in ((word_like - table.keys(), self.words), ({*rest, *tails} - table.keys(), self.whole)):
             fresh = list(fresh)
             for at in range(0, len(fresh), 20_000):
                 part = fresh[at : at + 20_000]
                 for piece, value in zip(part, measure(part), strict=True):
-                    (table if len(piece) <= PIECE_LIMIT else extra)[piece] = value
-        if extra:
-            table = table | extra
+                    table[piece] = value
         for piece, word, signs in zip(missing, heads, tails, strict=True):
             if word is not None:
                 table[piece] = table[word] + table[signs]
+        self.long = [p for p in (*missing, *word_like, *tails) if len(p) > PIECE_LIMIT]
         return table
 
 

@@ -47,6 +47,19 @@ def test_table_limit_changes_nothing(library, monkeypatch):
         assert np.frombuffer(table.encode([t])[0], table.dtype).tolist() == encode(library, WORD, t)
 
 
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "word"), (BYTE, "spaced")])
+def test_long_pieces_leave_the_table(library, path, kind):
+    cuts = {"word": tokens.word_cuts, "spaced": tokens.spaced_cuts}[kind]
+    table, counter = tokens.PieceTable(path, cuts), tokens.PieceTable(path, cuts, counts_only=True)
+    for n in (70, 80, 70, 70, 90):  # the same long piece again, and with signs
+        texts = ["a " + "z" * 70 + "!! word", "b " + "q" * n + ", c", "x" * 200 + " " + "z" * 70]
+        want = [e.ids for e in library[path].encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, table.dtype).tolist() for b in table.encode(texts)] == want
+        assert counter.count(texts) == [len(w) for w in want]
+    table.encode(["short"])
+    assert max(map(len, table.table)) <= tokens.PIECE_LIMIT
+
+
 def test_counts(spark, library):
     got = token_counts.count_tokens(frame(spark), WORD, limit=100).collect()
     want = Counter((r[0], len((r[1] or "").encode()), n := len(encode(library, WORD, r[1])), n > 100) for r in rows())
