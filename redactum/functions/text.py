@@ -93,6 +93,7 @@ def placeholder(type_name: Column, n: Column | None = None) -> Column:
     return F.concat(F.lit("<"), token, F.lit(">")) if n is None else F.concat(F.lit("<"), token, F.lit("_"), n.cast("string"), F.lit(">"))
 
 
+# fixed values: spoken numbers, units and frequencies of a dose
 _NUMBER = "(?:zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|half|point|and|a)"
 DOSE = (
     rf" +(?:[0-9]+(?:\.[0-9]+)?|{_NUMBER}(?:[ -]{_NUMBER})*) *(?:mg|mcg|milligrams?|micrograms?|grams?|units?)"
