@@ -38,9 +38,14 @@ _ODD_SPACE = re.compile("  |\n\n| \n|\n |\t|\r").search
 #: Per byte: 1 for an ASCII sign, 2 for a space, 3 for an apostrophe, else 0.
 _SORT = bytes(3 if c == 39 else 2 if c == 32 else 1 if 33 <= c < 127 and not chr(c).isalnum() else 0 for c in range(256))
 
+#: The proven characters beyond ASCII that are neither letter nor digit: for the tokenizers signs like any other.
+_LATIN_SIGN = re.compile("[\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]")
+
 
 def _lone_signs(text: str) -> int:
     """2 if every full stop and comma stands between a letter or digit and no other sign, 1 if one may follow a space."""
+    if not text.isascii():
+        text = _LATIN_SIGN.sub("!", text)
     sort = text.encode("utf-8", "surrogatepass").translate(_SORT)
     if b"\1\1" in sort or b"\3" in sort:
         return 0

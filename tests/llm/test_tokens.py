@@ -40,6 +40,17 @@ def test_pieces_give_the_ids_of_the_library(library, path, kind):
     assert counts.count(texts) == [len(w) for w in want]
 
 
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "word"), (BYTE, "spaced")])
+def test_latin_signs_beside_stops_and_commas(library, path, kind):
+    signs = [c for c in map(chr, range(0xA1, 0x1C4)) if not c.isalpha()]
+    texts = [t for c in signs for s in ".," for t in (f"mot{s}{c} il", f"mot{c}{s} il", f"a {c}{s}b", f"a{s}{c}b", f"{c} mot{s} il{s}b", f"{c}mot{s}")]
+    table = tokens.PieceTable(path, {"word": tokens.word_cuts, "spaced": tokens.spaced_cuts}[kind])
+    want = [encode(library, path, t) for t in texts]
+    assert [np.frombuffer(b, table.dtype).tolist() for b in table.encode(texts)] == want
+    counts = tokens.PieceTable(path, table.cuts, counts_only=True)
+    assert counts.count(texts) == [len(w) for w in want]
+
+
 def test_table_limit_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "TABLE_LIMIT", 5)
     table = tokens.PieceTable(WORD, tokens.word_cuts)
