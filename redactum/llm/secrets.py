@@ -19,12 +19,18 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs of 32 or more
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Digests (by their lengths in hex) and identifiers that look random but are public.
 _DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+").fullmatch
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}").fullmatch
-_IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{0,4}|[0-9+/_=-]+").fullmatch
+_NUMBER = re.compile(r"[0-9+/_=-]+").fullmatch
+_IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{0,4}").fullmatch
+#: Words of an identifier in camel or snake case.
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Letters a token, over the lower-case words of an identifier, above which it is one; random letters stay below.
+WORD_RATIO = 2.3
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -52,25 +58,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def public_string(s: str) -> bool:
-    """A digest or an identifier: excluded from the token-efficiency test."""
-    return bool(_IDENTIFIER(s) or _UUID(s) or (_HEX_ONLY(s) and len(s) in _DIGEST_LENGTHS))
+def public_string(s: str, encoding) -> bool:
+    """A digest, a number or an identifier whose words the vocabulary compresses: excluded from the token-efficiency test."""
+    if _NUMBER(s) or _UUID(s) or (_HEX_ONLY(s) and len(s) in _DIGEST_LENGTHS):
+        return True
+    if not _IDENTIFIER(s):
+        return False
+    words = _WORD.findall(s)
+    return sum(map(len, words)) > WORD_RATIO * sum(len(encoding.encode_ordinary(" " + w.lower())) for w in words)
 
 
 def random_spans(text: str, encoding, *, ratio: float, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidate strings beside the known spans with at most `ratio` characters for each token."""
+    """Candidate strings, or what the known spans leave of them, with at most `ratio` characters for each token.
+
+    What is left of a candidate beside known spans takes the test by itself. A part of fewer than LEAST characters does
+    so beside a key or hex run only (a value runs to its own end, so before an assignment stands a name), and not if
+    it ends in '=', as a name does.
+    """
     out, k = [], 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        s = m[0]
-        if public_string(s) or len(set(s)) < 8:
-            continue
-        while k < len(known) and known[k][2] <= a and known[k][0] <= a:
+        while k < len(known) and known[k][2] <= a:
             k += 1
-        if any(x[0] < b and a < x[2] for x in known[k:] if x[0] < b):
-            continue
-        if len(s) <= ratio * len(encoding.encode_ordinary(s)):
-            out.append((a, 3, b))
+        at, rest = a, []
+        for start, kind, end in known[k:]:
+            if start >= b:
+                break
+            if start > at and (start - at >= LEAST or (kind > 0 and text[start - 1] != "=")):
+                rest.append((at, start))
+            at = max(at, end)
+        if at < b:
+            rest.append((at, b))
+        for x, y in rest:
+            s = text[x:y]
+            # the ratio first: few strings pass it
+            if len(s) <= ratio * len(encoding.encode_ordinary(s)) and not public_string(s, encoding):
+                out.append((x, 3, y))
     return out
 
 
@@ -82,8 +105,8 @@ def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans and, with `mask`, the text with spans masked.
 
     Offsets are code points, ends exclusive. The known shapes always stay; strings of 16 or more characters with at
-    most `ratio` characters per token of the vocabulary are added as kind `random` where they touch none of them and
-    are neither digest nor identifier. A null text is empty and has no spans (and stays null under `mask`); repeated
+    most `ratio` characters per token of the vocabulary are added as kind `random` unless they are digests, numbers or
+    identifiers of words; of a string that a known shape covers in part, the parts beside it are tested. A null text is empty and has no spans (and stays null under `mask`); repeated
     rows stay; other columns are ignored.
     """
 

@@ -39,6 +39,29 @@ def test_scan(spark):
     assert by_id[0].masked is None and secrets.scan(frame(spark, []), VOCABULARY).count() == 0
 
 
+def random_parts(text):
+    encoding = secrets._encoding(VOCABULARY)
+    return [text[a:b] for a, _, b in secrets.random_spans(text, encoding, ratio=2.0, known=secrets.base_spans(text))]
+
+
+def test_random_letters_are_no_identifiers():
+    rng = random.Random(2)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for letters, n in ((upper + lower, 24), (upper + lower, 40), (lower, 16), (upper, 24)):
+        found = [random_parts(f"see {''.join(rng.choices(letters, k=n))} there") for _ in range(300)]
+        assert sum(map(len, found)) >= 290
+    assert random_parts("gSNnzxHPebRwNaxLlXUbbCWt") and random_parts("q7Vw7q7Vw7q7Vw7q")  # few distinct characters
+    names = "getElementsByTagName MAXIMUM_CONNECTION_RETRY_COUNT some-article_name2024 GESCHWINDIGKEITSBEGRENZUNG internationalization 2024-01-01_12-30-45"
+    assert not random_parts(names) and not random_parts("-" * 40 + " " + "=" * 30 + " " + "x" * 5000)
+
+
+def test_parts_beside_known_spans():
+    hexes = "0f3a9c1d7b5e2864" * 2
+    assert random_parts(f"Zk9Qx+{hexes}/Qw3vR") == ["Zk9Qx+", "/Qw3vR"]
+    assert random_parts(f"tEr9xQ2LmZ7pVb4KdW8sYn3Rj_{hexes}") == ["tEr9xQ2LmZ7pVb4KdW8sYn3Rj_"]
+    assert random_parts("my_token=abcdefgh12345678") == [] and random_parts(f"md5={hexes}") == []
+
+
 def test_mask_documents(spark):
     docs = frame(spark)
     out = secrets.mask_documents(docs, VOCABULARY, length_col="n_chars")
