@@ -31,13 +31,11 @@ def statistics(text: str, words: list[str], frequencies: Counter) -> np.ndarray:
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS / n
     lines = text.split("\n")
     k = max(1, len(words))
-    step = max(1, len(raw) // 4096)  # evenly over the whole text
-    sample = raw[::step] if step > 1 else raw
     return np.array(
         [
             np.log1p(len(raw)), np.log1p(len(words)), len(raw) / k, *counts, len(frequencies) / k,
             max(frequencies.values(), default=0) / k, len(set(lines)) / len(lines), np.log1p(n / len(lines)),
-            sum(c for w, c in frequencies.items() if not w[-1].isalnum()) / k, len(zlib.compress(sample, 1)) / max(1, len(sample)),
+            sum(c for w, c in frequencies.items() if not w[-1].isalnum()) / k, len(zlib.compress(raw, 1)) / n,
         ]
     )
 

@@ -85,6 +85,13 @@ def test_interactions_in_linear_time_equal_all_pairs():
     assert np.isclose(got[0], want)
 
 
+def test_compression_reads_the_whole_text():
+    text = prose("en", 40_000)
+    for n in (0, 1, 8191, 8192, 120_000, len(text)):
+        got = quality.raw_features(text[:n])[2][quality.STATISTICS.index("compressed")]
+        assert got == len(zlib.compress(text[:n].encode(), 1)) / max(1, n)
+
+
 def test_quality_hostile_rows(spark):
     docs = frame(spark)
     labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(20, 90)] + [(None, 1, 0, "x"), (21, None, None, None), (21, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
