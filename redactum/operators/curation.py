@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,7 +144,21 @@ def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter text with an equally long stretch of the longer one."""
     if len(a) > len(b):
         a, b = b, a
-    return max((ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)), default=0.0)
+    n = len(a)
+    if n == 0:
+        return 1.0
+    # characters that a stretch shares with the shorter text, in whatever order, bound what can match
+    x = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    shared = np.zeros(len(b) - n + 1, np.int32)
+    for c, most in Counter(a).items():
+        seen = np.concatenate(([0], np.cumsum(x == ord(c), dtype=np.int32)))
+        shared += np.minimum(seen[n:] - seen[:-n], most)
+    best = 0.0
+    for i in np.argsort(-shared, kind="stable").tolist():
+        if shared[i] / n <= best:
+            break
+        best = max(best, ratio(a, b[i : i + n]))
+    return best
 
 
 def containment(surface: pd.Series, text: pd.Series) -> pd.Series:
@@ -156,7 +172,7 @@ def containment(surface: pd.Series, text: pd.Series) -> pd.Series:
         x, y = set(re.findall("[a-z0-9]+", a)), set(re.findall("[a-z0-9]+", b))
         shared = " ".join(sorted(x & y))
         token = max(ratio(shared, " ".join(sorted(x))), ratio(shared, " ".join(sorted(y)))) if shared else 0.0
-        out.append(max(token, partial_ratio(a, b) if len(b) < 2000 else 0.0))
+        out.append(max(token, partial_ratio(a, b)))
     return pd.Series(out, dtype="float64")
 
 

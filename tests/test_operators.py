@@ -303,6 +303,25 @@ def test_containment():
     assert curation.containment(pd.Series(["Oslo", "ann smith", "zzz"]), pd.Series(["in OSLO now", "smith ann b", "abc"])).round(2).tolist() == [1.0, 1.0, 0.0]
 
 
+def test_containment_in_long_texts():
+    import random
+
+    import pandas as pd
+
+    from redactum.operators import curation
+
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(900))
+    assert len(text) > 4000
+    leak = text[:3000] + " bartholomew quickfoxx " + text[3000:]
+    score = curation.containment(pd.Series(["Bartholomew Quickfox", "bartholomaw quickfoxx"]), pd.Series([leak, leak]))
+    assert score[0] == 1.0 and 0.9 < score[1] < 1.0
+    plain = lambda a, b: max(curation.ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1))
+    for a in ("tenor sal", "zzz", "o", text[700:720][::-1], leak[2990:3010]):
+        assert curation.partial_ratio(a, leak) == curation.partial_ratio(leak, a) == plain(a, leak)
+    assert curation.partial_ratio("", leak) == 1.0
+
+
 def test_literal_starts(spark):
     from redactum.operators import curation
 
