@@ -126,6 +126,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     words but is not listed, repeated items count once; other columns are ignored; either table may be empty.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _by_row(docs.withColumn("row", F.monotonically_increasing_id()), items, item_col, item_text_col, window, share, stored=False).drop("row")
+
+
+def _by_row(rows: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, share: int, stored: bool) -> DataFrame:
+    """decontaminate() for rows (row, doc_id, text), with row; stored: each pass reads the same numbers."""
+    docs = rows.drop("row")
     items = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
     shingles = benchmark_shingles(items, window)
     frequencies = None
@@ -133,12 +139,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         part = shingle_frequencies(docs, _by_size(block))
         frequencies = part if frequencies is None else frequencies.unionByName(part)
     if frequencies is None:
-        return _report(docs.select("doc_id", F.size(words(F.col("text"))).alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"), F.array().cast("array<string>").alias("items")), share)
+        return _report(rows.select("row", "doc_id", F.size(words(F.col("text"))).alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"), F.array().cast("array<string>").alias("items")), share)
     frequencies = common.materialize(frequencies, "frequencies")
     chosen = common.materialize(seeds(shingles, frequencies, window), "seeds")
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
     found, blocks = None, list(_blocks(chosen))
-    if len(blocks) > 1:  # each pass must number the rows alike
+    if len(blocks) > 1 and not stored:  # each pass must number the rows alike
         rows = common.materialize(rows, "rows")
     for block in blocks:
         part = _occurrences(rows, block, window)
@@ -184,16 +189,21 @@ def _occurrences(rows: DataFrame, block: DataFrame, window: int) -> DataFrame:
 def _report(rows: DataFrame, share: int) -> DataFrame:
     hit = F.col("n_hit")
     return rows.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("ranges")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("ranges")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", (hit > 0) & (share * hit >= F.col("n_words")))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """The rows of docs, with all their columns, whose id has no contaminated row."""
-    report = decontaminate(docs, items, id_col=id_col, text_col=text_col, window=window, share=share)
-    bad = report.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs[f"`{id_col}`"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
+    """The rows of docs, with all their columns, that are not contaminated; each row for itself, whatever its id."""
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = common.materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")  # both sides of the join see the same numbers
+    each = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    report = _by_row(each, items, "item_id", "text", window, share, stored=True)
+    bad = report.where("contaminated").select(F.col("row").alias("_bad"))
+    return rows.join(bad, rows[number] == bad["_bad"], "left_anti").drop(number)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,17 @@ def test_decontaminate_empty_sides(spark):
     assert kept.columns == frame(spark).columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows()} - {15}
 
 
+def test_keep_clean_decides_for_each_row(spark, monkeypatch):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    rest = [None] * 10
+    clean = [(None, "clean words without an id", *rest), (None, None, *rest), (5, "clean words under a used id", *rest), (5, "clean words under a used id", *rest), (6, "", *rest)]
+    some = [*clean, (None, PASSAGE, *rest), (5, PASSAGE, *rest), (5, PASSAGE, *rest), (7, PASSAGE, *rest)]
+    for block in (decontaminate.SEED_BLOCK, 1):  # one pass and many
+        monkeypatch.setattr(decontaminate, "SEED_BLOCK", block)
+        kept = decontaminate.keep_clean(frame(spark, some), items)
+        assert Counter(map(tuple, kept.collect())) == Counter(clean) and kept.columns == frame(spark).columns
+
+
 def test_decontaminate_runs_no_python(spark):
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     plan = decontaminate.decontaminate(frame(spark), items)._jdf.queryExecution().executedPlan().toString()
