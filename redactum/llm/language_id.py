@@ -22,6 +22,11 @@ TABLE_LIMIT = 300_000
 _ASCII_LETTER = re.compile("[A-Za-z]").search
 
 
+def windows_of(text: str) -> list[bytes]:
+    """All windows of a text, in order."""
+    return [b[a : a + WINDOW] for w in text.split() for b in (w.encode("utf-8", "surrogatepass"),) for a in range(0, len(b), WINDOW)]
+
+
 def has_letter(text: str) -> bool:
     """A Unicode letter is in the text; numbers, marks and signs are none."""
     return _ASCII_LETTER(text) is not None or (not text.isascii() and any(map(str.isalpha, text)))
@@ -183,7 +188,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Fit on the text and language of rows whose id's crc32 mod 5 is not 0.
 
     The sample is bounded: about rows_per_language documents of each language, chosen by a hash of the id, and
-    words_per_row words of each, spread over the whole text. Rows with a null id, text or language teach nothing.
+    words_per_row windows of each (words, longer ones in pieces of 32 bytes), spread over the whole text. Rows with a null id, text or language teach nothing.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where((common.crc_mod5(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
@@ -197,12 +202,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     windows, labels = [], []
     rng = np.random.default_rng(11)
     for r in sample.toLocalIterator():
-        words = r.text.split()
-        if len(words) > words_per_row:
-            words = [words[i] for i in sorted(rng.choice(len(words), words_per_row, replace=False))]
-        for w in words:
-            windows.append(w.encode()[:WINDOW])
-            labels.append(langs.index(r.lang))
+        own = windows_of(r.text)
+        if len(own) > words_per_row:
+            own = [own[i] for i in sorted(rng.choice(len(own), words_per_row, replace=False))]
+        windows += own
+        labels += [langs.index(r.lang)] * len(own)
     model = BiGru(len(langs), hidden)
     if windows:
         model.fit(windows, np.array(labels), steps=steps)

@@ -1,6 +1,7 @@
 """Language identification and quality scores: gradients, held-out accuracy, hostile rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,20 @@ def test_identify(spark):
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == len(got)
 
 
+def test_training_sees_all_windows_of_long_words(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id.BiGru, "fit", lambda self, windows, labels, **_: seen.append((windows, labels)))
+    texts = ["".join(chr(0x4E00 + (i * 37 + k) % 900) for k in range(200)) for i in range(40)] + ["kurz und " + "x" * 70]
+    docs = frame(spark, [(i, t, "zh", "s", 1, *["x"] * 7) for i, t in enumerate(texts)])
+    language_id.train(docs)
+    want = Counter(b[a : a + language_id.WINDOW] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 for w in t.split() for b in [w.encode()] for a in range(0, len(b), language_id.WINDOW))
+    windows, labels = seen[0]
+    assert Counter(windows) == want and len(labels) == len(windows)
+    seen.clear()
+    language_id.train(docs, words_per_row=5)  # a bounded sample, not of heads only
+    assert 0 < len(seen[0][0]) <= 5 * len(texts) and any(w not in {t.encode()[:32] for t in texts} for w in seen[0][0])
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
