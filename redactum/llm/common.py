@@ -53,6 +53,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables written round by round; a round's table goes once two later ones stand, as no plan reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base, self.name, self.n = spark, shared_dir(spark), name, 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.name}-{self.n}"
+        df.write.parquet(path)
+        if self.n >= 2:
+            delete(self.spark, f"{self.base}/{self.name}-{self.n - 2}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed; every other column, whatever its name, is left behind."""
     return df.select(*[F.col(f"`{source}`").alias(target) for target, source in columns.items()])
@@ -72,12 +93,6 @@ def crc_u32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Bound the Arrow batches handed to Python: whole texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return spark
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() does the same where all characters are ASCII, and is faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

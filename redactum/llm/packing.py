@@ -105,10 +105,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int,
         tail = int(end_id).to_bytes(w, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.text_batches(texts, tokens.ENCODE_BATCH):
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in tokens.slices(batch.column(1), tokens.ENCODE_BATCH):
                 out: list[list] = [[] for _ in range(7)]
-                for key, ids in zip(keys[a:b], e.encode(texts[a:b]), strict=True):
+                for key, ids in zip(keys[a:b], e.encode(texts), strict=True):
                     ids += tail
                     n = len(ids) // w
                     end = (n - 1) % capacity + 1  # of the first piece
@@ -137,8 +137,9 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
 
     A document is its ids and then `end_id`; only longer ones are cut, into pieces of `capacity` tokens of which the
     first may be shorter. Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and,
-    with_ids, the ids. A null text is empty (one piece, the end id); repeated rows and null ids are packed as
-    documents of their own; other columns are ignored; an empty table gives no rows.
+    with_ids, the ids. A null or empty text is one piece, the end id; a text of any length is cut whole; repeated rows
+    and null ids are packed as documents of their own; which of equally long pieces comes first is free; other columns
+    are ignored, whatever their names; an empty table gives no rows.
 
     Pieces are written once to shared storage; only the histogram of their lengths (at most `capacity` rows) reaches
     the driver, and the plan it yields is bounded likewise. A piece finds its place by its rank among equal lengths: its
@@ -168,5 +169,6 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.small_batches(spark, 2000) and common.read_table(spark, sf_dir, "documents")
+    """All documents as byte_bpe_50k tokens in sequences of 2048; see pack() for hostile rows."""
+    docs = common.read_table(spark, sf_dir, "documents")
     return pack(docs, common.tokenizer_path("byte_bpe_50k.json"))

@@ -1,7 +1,8 @@
 """Exact tokenisation of whole texts through a bounded table of already encoded pieces.
 
 A piece is a stretch of text that no pre-token of the tokenizer crosses, so ids(text) is the concatenation of
-ids(piece). The library encodes each piece once per table; a text for which the cuts are not proven is encoded whole.
+ids(piece). The library encodes each piece once per table. Where the fast cuts are not proven, ids come from the whole
+text, and counts from the pre-tokens that the tokenizer itself makes.
 """
 
 from __future__ import annotations
@@ -91,6 +92,8 @@ class PieceTable:
         self.empty = 0 if counts_only else b""
         self.table = {"": self.empty}
         self.long: list[str] = []
+        self.special = re.compile("|".join(re.escape(t.content) for t in sorted(self.library.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))) or "(?!)")
+        self.sizes: dict[str, int] = {}
 
     def whole(self, texts: list[str]) -> list:
         code, encoded = self.code, self.library.encode_batch(texts, add_special_tokens=False)
@@ -115,13 +118,13 @@ class PieceTable:
         return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: distinct pre-tokens with their frequencies, joined to the counts and summed."""
+        """Tokens of each text: distinct pre-tokens with their frequencies, joined to the counts and summed.
+
+        Where the fast cuts are not proven the tokenizer's own normaliser and pre-tokenizer cut the text; no text is
+        encoded whole."""
         self._drop_long()
         frequencies = [None if (p := self.cuts(t)) is None else Counter(p.split(CUT)) for t in texts]
-        out = [0] * len(texts)
-        if rest := [i for i, f in enumerate(frequencies) if f is None]:
-            for i, n in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-                out[i] = n
+        out = [0 if f is not None else self._own_count(t) for t, f in zip(texts, frequencies, strict=True)]
         used = set().union(*(f for f in frequencies if f))
         get = self._known(list(used - self.table.keys()), used).__getitem__
         for i, f in enumerate(frequencies):
@@ -129,6 +132,28 @@ class PieceTable:
                 out[i] = sum(map(mul, map(get, f), f.values()))
         return out
 
+    def pre_tokens(self, text: str) -> tuple[Counter, int]:
+        """Pre-tokens of the tokenizer itself with their frequencies, and the number of special strings in the text."""
+        normal, cut = self.library.normalizer, self.library.pre_tokenizer
+        stretches = self.special.split(text)
+        out: Counter = Counter()
+        for stretch in stretches:
+            out.update(piece for piece, _ in cut.pre_tokenize_str(normal.normalize_str(stretch) if normal else stretch))
+        return out, len(stretches) - 1
+
+    def _own_count(self, text: str) -> int:
+        frequencies, total = self.pre_tokens(text)
+        if len(self.sizes) > TABLE_LIMIT:
+            self.sizes.clear()
+        for piece, n in frequencies.items():
+            size = self.sizes.get(piece)
+            if size is None:
+                size = len(self.library.model.tokenize(piece))
+                if len(piece) <= PIECE_LIMIT:
+                    self.sizes[piece] = size
+            total += n * size
+        return total
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """One entry for each text, in order."""
         collecting = gc.isenabled()
@@ -230,13 +255,15 @@ def release() -> None:
         pass  # another C library: it keeps what it holds
 
 
-def text_batches(texts: list[str], limit: int = 4_000_000):
-    """Ranges of a batch of at most about `limit` characters, one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, limit: int = 4_000_000, nulls: bool = False):
+    """(start, end, texts) of a text column, in ranges of at most about `limit` bytes but one text at least.
+
+    Only the texts of one range are Python strings at a time; a null is an empty text, or with `nulls` None."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        texts = column.slice(start, end - start).to_pylist()
+        yield start, end, texts if nulls else [t or "" for t in texts]
+        start = end

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from redactum.llm import common, packing, token_counts, token_store, tokens
@@ -51,6 +52,45 @@ def test_latin_signs_beside_stops_and_commas(library, path, kind):
     assert counts.count(texts) == [len(w) for w in want]
 
 
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "word"), (BYTE, "spaced")])
+def test_every_sign_and_script_beside_every_neighbour(library, path, kind):
+    cuts = {"word": tokens.word_cuts, "spaced": tokens.spaced_cuts}[kind]
+    special = [chr(c) for c in (*range(0x20, 0x180), *range(0x1C0, 0x250, 5), *range(0x370, 0x600, 9), *range(0x2000, 0x2070), *range(0x3000, 0x3010), 0x4E00, 0x1F600, 0xFB01, 0x300, 0x0, 0x85)]
+    beside = [".", ",", "'", "'s", " ", "  ", "\n", "\t", "<|endoftext|>", "1", "a"]
+    texts = [f"{x}{c}{y}b" for c in special for x in ("w", *beside) for y in beside]
+    want = [e.ids for e in library[path].encode_batch(texts, add_special_tokens=False)]
+    table, counts = tokens.PieceTable(path, cuts), tokens.PieceTable(path, cuts, counts_only=True)
+    assert [np.frombuffer(b, table.dtype).tolist() for b in table.encode(texts)] == want
+    assert counts.count(texts) == [len(w) for w in want]
+
+
+@pytest.mark.parametrize(("path", "kind"), [(WORD, "word"), (BYTE, "spaced")])
+def test_no_text_is_counted_whole(library, path, kind, monkeypatch):
+    texts = ["It’s fine — “so” they say…", "привет, мир", "日本語のテキスト", "x<|endoftext|>y <|startoftext|>", "plain words. Here, too", "\U0001f600" * 5 + " e\u0301\u0301", "naïve  \n\n  a"] * 2
+    counter = tokens.PieceTable(path, {"word": tokens.word_cuts, "spaced": tokens.spaced_cuts}[kind], counts_only=True)
+    given, own = [], counter.whole
+    monkeypatch.setattr(counter, "whole", lambda some: given.extend(some) or own(some))
+    assert counter.count(texts) == [len(encode(library, path, t)) for t in texts]
+    assert not set(given) & set(texts)
+
+
+def test_slices_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    column = pa.array(["a" * 10, None, "é" * 10, "", "b" * 50, "c"])
+    got = list(tokens.slices(column, 25))
+    assert [(a, b) for a, b, _ in got] == [(0, 2), (2, 4), (4, 5), (5, 6)] and got[0][2] == ["a" * 10, ""]
+    assert next(tokens.slices(column, 25, nulls=True))[2] == ["a" * 10, None] and list(tokens.slices(column.slice(0, 0))) == []
+
+
+def test_equal_rows_are_shared_among_shards(spark, tmp_path):
+    docs = spark.range(300).select((F.col("id") * 0).alias("doc_id"), F.lit("the same words").alias("text"))
+    manifest = token_store.write_store(docs, f"file://{tmp_path}/hot", WORD, partitions=6)
+    assert manifest.select("shard").distinct().count() >= 4
+    assert sorted(r.start for r in token_store.read_store(spark, f"file://{tmp_path}/hot").collect()) == list(range(0, 1200, 4))
+    assert len(token_store.lookup(spark, f"file://{tmp_path}/hot", [0])[0]) == 300
+
+
 def test_table_limit_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "TABLE_LIMIT", 5)
     table = tokens.PieceTable(WORD, tokens.word_cuts)
