@@ -28,6 +28,8 @@ from redactum.llm import common, tokens
 MAGIC = b"RMPH0001"
 GAMMA = 1.5
 MAX_LEVELS = 40
+#: Text of a shard: what one task encodes, and whose keys it holds.
+SHARD_BYTES = 64 << 20
 
 
 def key_hash(keys: list[int | None]) -> np.ndarray:
@@ -148,16 +150,21 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 def write_store(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, kind: str = "word", partitions: int | None = None) -> DataFrame:
     """Encode whole texts, write a store below `path`, return its manifest (doc_id, shard, row, n_tokens).
 
-    Shards follow one another in ascending id order (null first; rows with equal ids in any fixed order), so each
-    holds a range of ids. A null text is empty; a repeated id keeps all its rows. Other columns are ignored. An empty
-    table gives an empty manifest. Each task writes one shard under a name of its own attempt: a retry or a
-    speculative copy leaves files that no manifest names.
+    Shards follow one another in ascending id order (null first; rows with equal ids in any order), so each holds a
+    range of ids; their number grows with the text (SHARD_BYTES each) unless `partitions` names it. A null text is
+    empty; a text of any length is encoded whole; a repeated id keeps all its rows, in several shards where they are
+    many. Other columns are ignored, whatever their names. An empty table gives an empty manifest. Each task writes
+    one shard under a name of its own attempt: a retry or a speculative copy leaves files that no manifest names.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the text's hash parts the rows of a hot id; a range of ids is still one run of shards
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    n = partitions
+    if n is None:
+        size = docs.agg(F.sum(F.octet_length(text).cast("long") + 64)).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # the row's own number parts the rows of a hot id, equal ones too; a range of ids is still one run of shards
+    rows = rows.withColumn("h", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def encode(batches):
         from pyspark import TaskContext
@@ -169,12 +176,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
         store, root = _filesystem(path)
         keys, counts, out = [], [], None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.text_batches(texts, tokens.ENCODE_BATCH):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in tokens.slices(batch.column(1), tokens.ENCODE_BATCH):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.ids")
-                parts = [x + tail for x in e.encode(texts[a:b])]
+                parts = [x + tail for x in e.encode(texts)]
                 out.write(b"".join(parts))
                 n_tokens = np.array([len(x) // e.dtype.itemsize for x in parts], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([name] * (b - a)), pa.array(range(len(keys), len(keys) + b - a), pa.int64()), pa.array(n_tokens)], ["doc_id", "shard", "row", "n_tokens"])
@@ -269,7 +276,8 @@ def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> dict[int |
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as word_bpe_49k ids in a store, read back by key; see write_store() for hostile rows."""
     path = f"{common.shared_dir(spark)}/tokens"
-    docs = common.small_batches(spark, 2000) and common.read_table(spark, sf_dir, "documents")
+    docs = common.read_table(spark, sf_dir, "documents")
     write_store(docs, path, common.tokenizer_path("word_bpe_49k.json"))
     return read_store(spark, path)
