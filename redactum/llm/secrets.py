@@ -81,9 +81,10 @@ def random_spans(text: str, encoding, *, ratio: float, known: list[tuple[int, in
         while k < len(known) and known[k][2] <= a:
             k += 1
         at, rest = a, []
-        for start, kind, end in known[k:]:
-            if start >= b:
-                break
+        j = k
+        while j < len(known) and known[j][0] < b:
+            start, kind, end = known[j]
+            j += 1
             if start > at and (start - at >= LEAST or (kind > 0 and text[start - 1] != "=")):
                 rest.append((at, start))
             at = max(at, end)
@@ -106,18 +107,20 @@ def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
 
     Offsets are code points, ends exclusive. The known shapes always stay; strings of 16 or more characters with at
     most `ratio` characters per token of the vocabulary are added as kind `random` unless they are digests, numbers or
-    identifiers of words; of a string that a known shape covers in part, the parts beside it are tested. A null text is empty and has no spans (and stays null under `mask`); repeated
-    rows stay; other columns are ignored.
+    identifiers of words; of a string that a known shape covers in part, the parts beside it are tested. A null or
+    empty text has no spans (and stays as it is under `mask`); long texts are read whole, in time linear in their
+    spans; spans of one start stand in the order of KINDS; repeated rows and null ids stay; other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
 
     def run(batches):
         tokens.release()
         encoding = _encoding(vocabulary)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in tokens.text_batches([t or "" for t in texts], 2_000_000):
+            keys = batch.column(0)
+            for a, b, texts in tokens.slices(batch.column(1), 2_000_000, nulls=True):
                 n, digests, spans, masked = ([], [], []), [], [], []
-                for text in texts[a:b]:
+                for text in texts:
                     known = base_spans(text or "")
                     every = sorted(known + random_spans(text or "", encoding, ratio=ratio, known=known))
                     for kind in range(3):
@@ -149,24 +152,30 @@ def mask_spans(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 
 
 def mask_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text", length_col: str | None = None, ratio: float = 2.0, mask: str = "[SECRET]") -> DataFrame:
-    """All rows and columns of docs with every span of the texts masked; length_col, if named, follows the new text."""
+    """All rows and columns of docs with every span of the texts masked; length_col, if named, follows the new text.
+
+    Null texts stay null (and so does their length), empty ones empty; overlapping spans become one mask; repeated
+    rows stay; other columns, whatever their names, are passed on; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
         tokens.release()
         encoding = _encoding(vocabulary)
         for batch in batches:
-            out = []
-            for text in batch.column(at).to_pylist():
-                known = base_spans(text or "")
-                every = sorted(known + random_spans(text or "", encoding, ratio=ratio, known=known))
-                out.append(mask_spans(text, every, mask) if every else text)
-            yield batch.set_column(at, text_col, pa.array(out, pa.string()))
+            for a, b, texts in tokens.slices(batch.column(at), 2_000_000, nulls=True):
+                out = []
+                for text in texts:
+                    known = base_spans(text or "")
+                    every = sorted(known + random_spans(text or "", encoding, ratio=ratio, known=known))
+                    out.append(mask_spans(text, every, mask) if every else text)
+                yield batch.slice(a, b - a).set_column(at, text_col, pa.array(out, pa.string()))
 
     out = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).mapInArrow(run, docs.schema)
     return out if length_col is None else out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.small_batches(spark) and common.read_table(spark, sf_dir, "documents")
+    """Secrets in every whole text of documents; see scan() for hostile rows."""
+    docs = common.read_table(spark, sf_dir, "documents")
     return scan(docs, common.tokenizer_path("byte_bpe_50k.tiktoken"))
