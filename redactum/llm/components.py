@@ -29,13 +29,12 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written to shared storage, which cuts the lineage; only a count and a checksum reach the driver.
     Self links, repeated links and an empty table are fine; links with a null end are ignored.
     """
-    edges = common.materialize(
-        links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
-    )
+    rounds = common.Rounds(links.sparkSession, "links")
+    edges = rounds.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
         if not now.n or (now.n, now.h) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = (now.n, now.h)
-        edges = common.materialize(_smallest_star(_largest_star(edges)), "links")
+        edges = rounds.write(_smallest_star(_largest_star(edges)))

@@ -61,8 +61,12 @@ def test_pigeonring_keeps_every_near_pair():
     for m in (4, 5, 6, 8):
         ring = simhash.Ring(3, m)
         x = np.array([sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for _ in range(5000)], np.uint64)
-        assert (ring.links(x) == (np.bitwise_count(x) <= 3)).all()
-        assert all(any(v & ring.key_mask(k) == 0 for k in ring.keys) for v in x.tolist() if v.bit_count() <= 3)
+        chains = np.array([ring.within(x, k) for k in range(m)])
+        assert (chains.any(axis=0) == (np.bitwise_count(x) <= 3)).all()
+        for i, v in enumerate(x.tolist()):
+            for k in range(m):  # what a chain accepts shares its key, up to one loose bit
+                inside = v & ring.key_mask(k)
+                assert not chains[k, i] or inside == 0 or (inside.bit_count() == 1 and inside.bit_length() - 1 in ring.loose_bits(k))
 
 
 def links_of(spark, values, **how):
@@ -82,6 +86,22 @@ def check_links(spark, values, **how):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_fewer_candidates_than_by_exact_segments(spark):
+    """The pigeonhole index compares all that share one of four exact segments; the chain's prefix leaves few of them."""
+    rng = random.Random(5)
+    # far fingerprints over few values of each 16-bit segment, so that exact segments are shared by many
+    pool = [rng.getrandbits(16) for _ in range(60)]
+    values = sorted({sum(rng.choice(pool) << 16 * j for j in range(4)) for _ in range(4000)} | set(near_set(100, 6)))
+    signed = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    ring = simhash.Ring(3, 4)
+    pairs = 0
+    for r in simhash.deal(signed, ring).groupBy("k", "part").agg(F.sum(F.col("own").cast("long")).alias("o"), F.sum((~F.col("own")).cast("long")).alias("x")).collect():
+        pairs += r.o * (r.o - 1) // 2 + r.o * r.x
+    holes = Counter((j, v >> 16 * j & 0xFFFF) for v in values for j in range(4))
+    assert pairs * 10 < sum(n * (n - 1) // 2 for n in holes.values())
+    check_links(spark, values)
+
+
 def test_links_in_pairs_and_through_neighbourhoods(spark):
     values = near_set(300, 4)
     check_links(spark, values)
@@ -110,6 +130,11 @@ def test_one_per_group(spark):
     assert len(texts) == groups
 
 
+def test_no_column_is_overwritten(spark):
+    docs = spark.createDataFrame([(1, BASE, 10, "a", 7, "z"), (2, "other words here", 20, "b", 8, "y"), (3, BASE, 30, "c", 9, "x")], "doc_id long, text string, _id long, _hash string, id long, hash string")
+    assert sorted(map(tuple, simhash.one_per_group(docs).collect())) == [(1, BASE, 10, "a", 7, "z"), (2, "other words here", 20, "b", 8, "y")]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 130)] + [(5, 5), (7, 6), (200, 300), (-4, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
