@@ -2,20 +2,28 @@
 
 An item's windows are sets of word shingles that a document must contain whole, so one necessary shingle is prefix
 enough: the window's rarest over all documents. These seeds are looked up at every position of a document; the seed's
-place bounds where a window can lie, and the words around it are compared one by one.
+place bounds where a window can lie, and the words around it are compared one by one. The documents are read twice,
+once to count shingles and once to look up seeds, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactum.llm import common
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-#: Seeds looked up in one pass over the documents; more of them take more passes, in blocks.
-SEED_BLOCK = 20_000
+#: Shingle hashes broadcast whole; of more of them their last FILTER_BITS bits are, at most 2^FILTER_BITS values, and
+#: what passes this filter is joined by a shuffle.
+BROADCAST_ROWS, FILTER_BITS = 2_000_000, 24
+#: Seeds are broadcast with their words up to this many bytes.
+BROADCAST_BYTES = 32 << 20
+#: Parts of a hot seed in a shuffled join.
+SALTS = 16
+#: Stands behind a document's shingles, so that documents without any seed keep a row.
+END = -1
 
 
 def _let(value: Column, body) -> Column:
@@ -44,61 +52,56 @@ def _shingle(w: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(w, at + j) for j in range(k)])
 
 
-def _one_of(h: Column, values: list[int]) -> Column:
-    return F.expr("false") if not values else h.isin(values)
-
-
 def benchmark_shingles(items: DataFrame, window: int) -> DataFrame:
-    """(item, item_id, w, n, k, pos, h): each item's shingles; shorter items are one shingle of all their words."""
+    """(item, item_id, n, k, win, pos, h, off, ctx): each item's shingles, shorter items are one shingle of all their
+    words; ctx has at most window - 1 words before the shingle, from its word off on, and as many behind its first."""
     base = items.select("item_id", words(F.col("text")).alias("w")).distinct()
     base = base.withColumn("item", F.monotonically_increasing_id())
     base = common.materialize(base.withColumn("n", F.size("w")).where("n > 0"), "items")
     base = base.withColumn("k", F.least(F.lit(SHINGLE), F.col("n"))).withColumn("win", F.least(F.lit(window), F.col("n")))
     rows = base.withColumn("pos", F.explode(_span(F.lit(0), F.col("n") - F.col("k"))))
     h = F.coalesce(*[F.when(F.col("k") == k, _shingle(F.col("w"), F.col("pos"), k)) for k in range(1, SHINGLE + 1)])
-    return common.materialize(rows.withColumn("h", h), "shingles")
-
-
-def _positions(w: Column, wanted: dict[int, list[int]]) -> Column:
-    """(k, position) of every wanted shingle hash."""
-
-    def of_size(k: int, values: list[int]) -> Column:
-        at = F.filter(_span(F.lit(0), F.size(w) - k), lambda i: _one_of(_shingle(w, i, k), values))
-        return F.transform(at, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos")))
-
-    found = [of_size(k, v) for k, v in wanted.items()]
-    return F.concat(*found) if found else F.array().cast("array<struct<k:int,pos:int>>")
+    off = F.least(F.col("pos"), F.lit(window - 1))
+    return common.materialize(rows.withColumns({"h": h, "off": off, "ctx": F.slice("w", F.col("pos") - off + 1, off + window)}).drop("w"), "shingles")
 
 
-def _by_size(rows: DataFrame) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for r in rows.select("k", "h").distinct().orderBy("k", "h").toLocalIterator():
-        out.setdefault(r.k, []).append(r.h)
-    return out
+def _positions(docs: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """(keep..., w, pos, h): a row for each shingle of each document, and one with h = END."""
+    hashes = lambda k: F.transform(_span(F.lit(0), F.size("w") - k), lambda i: _shingle(F.col("w"), i, k))
+    each = [hashes(k) for k in sizes]
+    rows = docs.select(*keep, words(F.col("text")).alias("w"))
+    rows = rows.select(*keep, "w", F.posexplode(F.concat(*each, F.array(F.lit(END).cast("long")))).alias("i", "h"))
+    before, pos = F.lit(0), F.col("i")
+    for k in sizes[:-1]:
+        before = before + F.greatest(F.lit(0), F.size("w") - k + 1)
+        pos = F.when(F.col("i") >= before, F.col("i") - before).otherwise(pos)
+    return rows.withColumn("pos", pos).drop("i")
 
 
-def shingle_frequencies(docs: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
-    """(k, h, n): occurrences over all documents; counted per task before the shuffle."""
-    at = F.explode(_let(words(F.col("text")), lambda w: F.transform(_positions(w, wanted), lambda p: F.struct(p.k.alias("k"), _hash_of(w, p.k, p.pos).alias("h")))))
-    return docs.select(at.alias("s")).groupBy("s.k", "s.h").agg(F.count("*").alias("freq"))
+def _among(positions: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The positions whose h is among the hashes or END; where these are too many to broadcast, some others too."""
+    mask = F.lit(-1 if hashes.count() <= BROADCAST_ROWS else (1 << FILTER_BITS) - 1).cast("long")
+    keys = hashes.select("h").unionByName(hashes.sparkSession.range(1).select(F.lit(END).cast("long").alias("h")))
+    keys = keys.select(F.col("h").bitwiseAND(mask).alias("key")).distinct()
+    return positions.join(F.broadcast(keys), F.col("h").bitwiseAND(mask) == F.col("key"), "left_semi")
 
 
-def _hash_of(w: Column, k: Column, pos: Column) -> Column:
-    return F.coalesce(*[F.when(k == j, _shingle(w, pos, j)) for j in range(1, SHINGLE + 1)])
+def shingle_frequencies(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
+    """(h, freq): occurrences over all documents of the given hashes; counted per task before the shuffle."""
+    return _among(_positions(docs, sizes).select("h"), hashes).where(F.col("h") != END).groupBy("h").agg(F.count("*").alias("freq"))
 
 
 def seeds(shingles: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
-    """The rarest shingle of every window: (k, h, item_id, win, off, ctx), ctx the item's words around the seed.
+    """The rarest shingle of every window: (seed, h, win, off, ctx, items), a row for each distinct context; ctx has
+    the item's words around the shingle, items the ids of all items with this context.
 
     A window with a shingle that no document holds cannot occur, and has no seed.
     """
-    counted = shingles.join(frequencies, ["k", "h"], "left").fillna(0, ["freq"])
     starts = _span(F.greatest(F.lit(0), F.col("pos") + F.col("k") - F.col("win")), F.least(F.col("pos"), F.col("n") - F.col("win")))
-    by_window = counted.withColumn("start", F.explode(starts))
-    rarest = Window.partitionBy("item", "start").orderBy("freq", "h", "pos")
-    chosen = by_window.withColumn("r", F.row_number().over(rarest)).where("r = 1 and freq > 0")
-    off = F.least(F.col("pos"), F.lit(window - 1))
-    return chosen.select("k", "h", "item_id", "win", off.alias("off"), F.slice("w", F.col("pos") - off + 1, off + window).alias("ctx")).distinct()
+    counted = shingles.select("h", "item", "pos", F.explode(starts).alias("start")).join(frequencies, "h", "left").fillna(0, ["freq"])
+    rarest = counted.groupBy("item", "start").agg(F.min(F.struct("freq", "h", "pos")).alias("x")).where("x.freq > 0")
+    chosen = shingles.join(rarest.select("item", F.col("x.pos").alias("pos")).distinct(), ["item", "pos"])
+    return chosen.groupBy("h", "win", "off", "ctx").agg(F.collect_set("item_id").alias("items")).withColumn("seed", F.monotonically_increasing_id())
 
 
 def _agree(a: Column, at_a: Column, b: Column, at_b: Column, step: int, most: Column) -> Column:
@@ -123,67 +126,52 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     A window is `window` consecutive words of an item, or all of a shorter item; a document word inside any occurrence
     of a window is hit; contaminated: n_hit > 0 and share * n_hit >= n_words. Null and wordless texts have no words
     and are clean; wordless items have no windows. Repeated rows stay rows of their own; an item without an id marks
-    words but is not listed, repeated items count once; other columns are ignored; either table may be empty.
+    words but is not listed, repeated items count once; texts of any length are read whole; other columns are ignored,
+    whatever their names; either table may be empty.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return _by_row(docs.withColumn("row", F.monotonically_increasing_id()), items, item_col, item_text_col, window, share, stored=False).drop("row")
+    return _by_row(docs.withColumn("row", F.monotonically_increasing_id()), items, item_col, item_text_col, window, share).drop("row")
 
 
-def _by_row(rows: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, share: int, stored: bool) -> DataFrame:
-    """decontaminate() for rows (row, doc_id, text), with row; stored: each pass reads the same numbers."""
-    docs = rows.drop("row")
+def _by_row(rows: DataFrame, items: DataFrame, item_col: str, item_text_col: str, window: int, share: int) -> DataFrame:
+    """decontaminate() for rows (row, doc_id, text), with row."""
     items = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
     shingles = benchmark_shingles(items, window)
-    frequencies = None
-    for block in _blocks(shingles.select("k", "h").distinct()):
-        part = shingle_frequencies(docs, _by_size(block))
-        frequencies = part if frequencies is None else frequencies.unionByName(part)
-    if frequencies is None:
-        return _report(rows.select("row", "doc_id", F.size(words(F.col("text"))).alias("n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("ranges"), F.array().cast("array<string>").alias("items")), share)
-    frequencies = common.materialize(frequencies, "frequencies")
+    sizes = [r.k for r in shingles.select("k").distinct().orderBy("k").collect()]  # three at most
+    frequencies = common.materialize(shingle_frequencies(rows, shingles.select("h").distinct(), sizes), "frequencies")
     chosen = common.materialize(seeds(shingles, frequencies, window), "seeds")
-    found, blocks = None, list(_blocks(chosen))
-    if len(blocks) > 1 and not stored:  # each pass must number the rows alike
-        rows = common.materialize(rows, "rows")
-    for block in blocks:
-        part = _occurrences(rows, block, window)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = _occurrences(rows, chosen, window)
-    by_row = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("range").alias("ranges"), F.collect_set("item_id").alias("items")
-    )
-    return _report(by_row, share)
-
-
-def _blocks(rows: DataFrame):
-    """rows (with h) in blocks of about SEED_BLOCK at most, one block if that is enough; a block holds all rows of an h."""
-    n = rows.count()
-    parts = -(-n // SEED_BLOCK)
-    for i in range(parts):
-        yield rows if parts == 1 else rows.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == i)
-
-
-def _occurrences(rows: DataFrame, block: DataFrame, window: int) -> DataFrame:
-    """A row for each seed met in a document (range null if its words do not agree), one at least per document."""
-    wanted = _by_size(block)
-
-    def look(w: Column) -> Column:
-        def around(p: Column) -> Column:
-            off = F.least(p.pos, F.lit(window - 1))
-            return F.struct(p.k.alias("k"), p.pos.alias("pos"), _hash_of(w, p.k, p.pos).alias("h"), off.alias("off"), F.slice(w, p.pos - off + 1, off + window).alias("ctx"))
-
-        return F.struct(F.size(w).alias("n_words"), F.transform(_positions(w, wanted), around).alias("at"))
-
-    met = rows.select("row", "doc_id", _let(words(F.col("text")), look).alias("x"))
-    met = met.select("row", "doc_id", "x.n_words", F.explode_outer("x.at").alias("at")).alias("d")
-    s = F.broadcast(block).alias("s")  # at most about SEED_BLOCK rows of 25 words
-    both = met.join(s, (F.col("at.h") == F.col("s.h")) & (F.col("at.k") == F.col("s.k")), "left")
-    left = _agree(F.col("at.ctx"), F.col("at.off") - 1, F.col("s.ctx"), F.col("s.off") - 1, -1, F.least("at.off", "s.off"))
-    right = _agree(F.col("at.ctx"), F.col("at.off"), F.col("s.ctx"), F.col("s.off"), 1, F.least(F.size("at.ctx") - F.col("at.off"), F.size("s.ctx") - F.col("s.off")))
-    both = both.select("row", "doc_id", "n_words", F.col("at.pos").alias("pos"), "item_id", "win", left.alias("l"), right.alias("r"))
+    found = _occurrences(rows, chosen, sizes, window)
+    by_row = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("range").alias("ranges"), F.collect_set("seed").alias("seeds"))
+    by_row = common.materialize(by_row, "found")
+    held = by_row.select("row", F.explode("seeds").alias("seed")).join(chosen.select("seed", F.explode("items").alias("item_id")), "seed")
+    listed = held.groupBy("row").agg(F.collect_set("item_id").alias("items"))
+    none = F.array().cast("array<string>")
+    return _report(by_row.join(listed, "row", "left").withColumn("items", F.coalesce("items", none)), share)
+
+
+def _occurrences(rows: DataFrame, chosen: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """(row, doc_id, n_words, seed, range): a row for each seed met in a document, seed and range null where the words
+    around it do not agree, and at least one for each document."""
+    off = F.least(F.col("pos"), F.lit(window - 1))
+    met = _among(_positions(rows, sizes, "row", "doc_id"), chosen.select("h").distinct())
+    end = F.col("h") == END
+    around = F.when(~end, F.slice("w", F.col("pos") - off + 1, off + window))
+    met = met.select("row", "doc_id", F.size("w").alias("n_words"), "pos", "h", F.when(~end, off).alias("d_off"), around.alias("d_ctx"))
+    size = chosen.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("ctx", " "))).alias("bytes")).first()
+    words_of = chosen.select("seed", "h", "win", "off", "ctx")
+    if size.n <= BROADCAST_ROWS and (size.bytes or 0) + 64 * size.n <= BROADCAST_BYTES:
+        both = met.join(F.broadcast(words_of), "h", "left")
+    else:
+        met = common.materialize(met.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")), "met")
+        salted = words_of.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        both = met.where(~end).join(salted.hint("shuffle_hash"), ["h", "salt"])
+        ends = met.where(end).select(*[F.col(c) if c in met.columns else F.lit(None).cast(t).alias(c) for c, t in both.dtypes])
+        both = both.unionByName(ends)
+    left = _agree(F.col("d_ctx"), F.col("d_off") - 1, F.col("ctx"), F.col("off") - 1, -1, F.least("d_off", "off"))
+    right = _agree(F.col("d_ctx"), F.col("d_off"), F.col("ctx"), F.col("off"), 1, F.least(F.size("d_ctx") - F.col("d_off"), F.size("ctx") - F.col("off")))
+    both = both.select("row", "doc_id", "n_words", "pos", "seed", "win", left.alias("l"), right.alias("r"))
     hit = F.col("l") + F.col("r") >= F.col("win")
-    return both.select("row", "doc_id", "n_words", F.when(hit, F.col("item_id")).alias("item_id"), F.when(hit, F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("range"))
+    return both.select("row", "doc_id", "n_words", F.when(hit, F.col("seed")).alias("seed"), F.when(hit, F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("range"))
 
 
 def _report(rows: DataFrame, share: int) -> DataFrame:
@@ -195,18 +183,23 @@ def _report(rows: DataFrame, share: int) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated; each row for itself, whatever its id."""
+    """The rows of docs, with all their columns, that are not contaminated; each row for itself, whatever its id.
+
+    Null, empty and wordless texts are clean; long texts are read whole; repeated rows stay or go each for itself;
+    other columns are passed on, whatever their names; with an empty benchmark all rows stay.
+    """
     number = "_row"
     while number in docs.columns:
         number += "_"
     rows = common.materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")  # both sides of the join see the same numbers
     each = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    report = _by_row(each, items, "item_id", "text", window, share, stored=True)
+    report = _by_row(each, items, "item_id", "text", window, share)
     bad = report.where("contaminated").select(F.col("row").alias("_bad"))
     return rows.join(bad, rows[number] == bad["_bad"], "left_anti").drop(number)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every whole text of documents; see decontaminate() for hostile rows."""
     return decontaminate(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
 
 

@@ -95,7 +95,10 @@ def test_decontaminate(spark, monkeypatch):
     items = spark.createDataFrame([(i, t, 1, "x") for i, t in shared], "item_id long, text string, doc_id long, h string")
     want = Counter((r[0], *contamination(r[1], shared)) for r in few)
     assert Counter(map(tuple, decontaminate.decontaminate(frame(spark, few), items).collect())) == want
-    monkeypatch.setattr(decontaminate, "SEED_BLOCK", 3)  # many passes
+    for name in ("BROADCAST_ROWS", "BROADCAST_BYTES"):  # filtered by a few bits, joined by a shuffle
+        monkeypatch.setattr(decontaminate, name, 0)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 4)
+    monkeypatch.setattr(decontaminate, "SALTS", 3)
     assert Counter(map(tuple, decontaminate.decontaminate(frame(spark, few), items).collect())) == want
 
 
@@ -113,12 +116,37 @@ def test_keep_clean_decides_for_each_row(spark, monkeypatch):
     rest = [None] * 10
     clean = [(None, "clean words without an id", *rest), (None, None, *rest), (5, "clean words under a used id", *rest), (5, "clean words under a used id", *rest), (6, "", *rest)]
     some = [*clean, (None, PASSAGE, *rest), (5, PASSAGE, *rest), (5, PASSAGE, *rest), (7, PASSAGE, *rest)]
-    for block in (decontaminate.SEED_BLOCK, 1):  # one pass and many
-        monkeypatch.setattr(decontaminate, "SEED_BLOCK", block)
+    for bound in (decontaminate.BROADCAST_BYTES, 0):  # seeds broadcast and shuffled
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
         kept = decontaminate.keep_clean(frame(spark, some), items)
         assert Counter(map(tuple, kept.collect())) == Counter(clean) and kept.columns == frame(spark).columns
 
 
+def test_documents_are_read_twice_however_many_shingles(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    big = [(i, " ".join(word() for _ in range(500))) for i in range(104)]
+    some = [(1, " ".join(big[3][1].split()[40:60]) + " and more words", *[None] * 10), (2, "no such words here", *[None] * 10), (None, big[7][1], *[None] * 10)]
+    reads, own = [], decontaminate._positions
+    monkeypatch.setattr(decontaminate, "_positions", lambda *a: reads.append(a) or own(*a))
+    items = spark.createDataFrame(big, "item_id long, text string")
+    assert decontaminate.benchmark_shingles(items, 13).select("h").distinct().count() > 50_000
+    for rows_bound in (decontaminate.BROADCAST_ROWS, 1000):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows_bound)
+        reads.clear()
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(frame(spark, some), items).collect()}
+        assert got == {1: (20, 1), 2: (0, 0), None: (500, 1)} and len(reads) == 2
+
+
+def test_items_that_share_a_passage_are_one_seed(spark):
+    items = spark.createDataFrame([(i, PASSAGE) for i in range(40)], "item_id long, text string")
+    shingles = decontaminate.benchmark_shingles(items, 13)
+    found = decontaminate.seeds(shingles, shingles.groupBy("h").count().withColumnRenamed("count", "freq"), 13).collect()
+    assert all(len(r["items"]) == 40 for r in found) and len(found) <= len(PASSAGE.split()) - 12
+    (got,) = decontaminate.decontaminate(frame(spark, [(1, PASSAGE, *[None] * 10)]), items).collect()
+    assert got.n_items == 40 and got.n_hit == len(PASSAGE.split())
+
+
 def test_decontaminate_runs_no_python(spark):
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     plan = decontaminate.decontaminate(frame(spark), items)._jdf.queryExecution().executedPlan().toString()
