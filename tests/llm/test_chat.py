@@ -1,6 +1,7 @@
 """Tool-call linking against a plain reading of its rules."""
 
 import json
+import random
 import re
 
 import pytest
@@ -65,6 +66,59 @@ def test_results_before_calls_are_put_in_order(link):
     assert all(r.cyclic for r in out if r.conv_id == 2) and not any(r.cyclic for r in out if r.conv_id == 1)
 
 
+def test_items_wait_directly_behind_the_latest_they_need(link):
+    calls = [(1, 0, "a", "add", '{"a":1}', ["c"]), (1, 2, "b", "add", '{"a":1}', []), (1, 4, "c", "add", '{"a":1}', ["b"]), (1, 6, "d", "add", '{"a":1}', [])]
+    out = link(calls, [(1, t + 1, i, "r") for _, t, i, *_ in calls]).collect()
+    order = [(r.call_id, r.kind) for r in sorted(out, key=lambda r: r.position)]
+    assert order == [("b", 0), ("b", 1), ("c", 0), ("c", 1), ("a", 0), ("a", 1), ("d", 0), ("d", 1)]
+
+
+def test_cycles_take_what_is_behind_them(link):
+    calls = [(1, 0, "a", "add", '{"a":1}', ["c"]), (1, 1, "b", "add", '{"a":1}', ["a"]), (1, 2, "c", "add", '{"a":1}', ["b"]), (1, 3, "d", "add", '{"a":1}', ["c"]), (1, 4, "e", "add", '{"a":1}', []), (1, 5, "f", "add", '{"a":1}', ["f"])]
+    out = {r.call_id: (r.position, r.cyclic) for r in link(calls, []).collect()}
+    assert out == {"e": (0, False), "a": (1, True), "b": (2, True), "c": (3, True), "d": (4, True), "f": (5, True)}
+
+
+@pytest.mark.parametrize("items", [0, 512])  # by joins only, and folded
+def test_orders_by_joins_and_folded(link, monkeypatch, items):
+    monkeypatch.setattr(chat, "FOLD_ITEMS", items)
+    calls = [(1, 0, "a", "add", '{"a":1}', ["c"]), (1, 1, "b", "add", '{"a":1}', ["a"]), (1, 2, "c", "add", '{"a":1}', ["b"]), (1, 3, "d", "add", '{"a":1}', ["c"]), (1, 4, "e", "add", '{"a":1}', ["g"]), (1, 5, "f", "add", '{"a":1}', ["f"]), (1, 6, "g", "add", '{"a":1}', [])]
+    calls += [(None, i, f"n{i}", "add", '{"a":1}', [f"n{i + 1}"] if i < 5 else []) for i in range(6)]
+    out = link(calls, []).collect()
+    assert {r.call_id: (r.position, r.cyclic) for r in out if r.conv_id} == {"g": (0, False), "e": (1, False), "a": (2, True), "b": (3, True), "c": (4, True), "d": (5, True), "f": (6, True)}
+    assert [r.turn for r in sorted((r for r in out if not r.conv_id), key=lambda r: r.position)] == [5, 4, 3, 2, 1, 0]
+
+
+def test_a_long_chain_takes_few_jobs(spark, link):
+    n = 2000
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    calls = [(1, i, f"c{i}", "add", '{"a":1}', [f"c{i + 1}"] if i + 1 < n else []) for i in range(n)]
+    out = link(calls, []).collect()
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.turn for r in sorted(out, key=lambda r: r.position)] == list(range(n - 1, -1, -1)) and not any(r.cyclic for r in out)
+    assert jobs < 250
+
+
+def test_random_links_against_plain_relaxation(link):
+    rng = random.Random(4)
+    for _ in range(3):
+        n = 14
+        calls = [(1, i, f"c{i}", "add", '{"a":1}', [f"c{j}" for j in rng.sample(range(n), rng.randrange(3)) if j < i or rng.random() < 0.3]) for i in range(n)]
+        at = {i: (i, 0) for i in range(n)}
+        cyclic = set()
+        for _ in range(n * n):
+            for _, i, _, _, _, needs in calls:
+                for j in (int(x[1:]) for x in needs):
+                    if j in cyclic or at[j][1] > n:
+                        cyclic.add(i)
+                    at[i] = max(at[i], (at[j][0], at[j][1] + 1))
+        want = sorted(range(n), key=lambda i: (i in cyclic, at[i] if i not in cyclic else (0, 0), i))
+        out = sorted(link(calls, []).collect(), key=lambda r: r.position)
+        assert [r.turn for r in out] == want and {r.turn for r in out if r.cyclic} == cyclic
+
+
 def test_null_conversations_repeated_rows_and_empty_tables(link):
     out = link([(None, None, "a", "add", '{"a":1}', None)] * 2, [(None, 3, "a", "r")]).collect()
     assert len(out) == 3 and sorted(r.position for r in out) == [0, 1, 2]
@@ -89,3 +143,4 @@ def test_last_user_turn_across_spans(spark, monkeypatch):
 def test_no_python_on_the_main_path(spark):
     plan = chat.op2_chat_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+    assert plan.count("ShuffledHashJoin") >= 3
