@@ -31,18 +31,31 @@ def test_backpropagation_through_time_gives_the_gradient():
             assert abs((up - down) / 2e-4 - g[k][at]) < 1e-4
 
 
-def test_documents_are_means_over_all_positions():
+def test_every_position_is_labelled_once():
+    texts = ["", "a", "é" * 31, "x" * 64, "one two " * 9, "ab cd\n" * 500, "日本" * 100]
+    x, owner, owned = language_id.windows_of(texts)
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        mine = [(w, o) for w, o, k in zip(x, owned, owner, strict=True) if k == i]
+        assert b"".join(w[a:b].tobytes() for w, (a, b) in mine) == raw  # in order, without gaps
+        for n, (_, (a, b)) in enumerate(mine):
+            assert (n == 0 and a == 0) or a >= language_id.CONTEXT
+            assert n == len(mine) - 1 or b <= language_id.WINDOW - language_id.CONTEXT
+
+
+def test_documents_are_means_over_all_positions(monkeypatch):
     model = language_id.BiGru(2, 4)
-    text = "one twotwo three" + "x" * 70
-    want, n = np.zeros(2), 0
-    for word in text.split():
-        b = word.encode()
-        for a in range(0, len(b), language_id.WINDOW):
-            q = model.probabilities(np.frombuffer(b[a : a + language_id.WINDOW], np.uint8)[None])
-            want += q.sum(axis=(0, 1))
-            n += q.shape[0]
-    got = language_id.Labeller(model, 2).documents([text, "", text + " " + text])
-    assert np.allclose(got[0], want / n) and got[1].sum() == 0 and np.allclose(got[0], got[2])
+    texts = ["one twotwo three" + "x" * 70, "", "short", "a b " * 60]
+    x, owner, owned = language_id.windows_of(texts)
+    want, n = np.zeros((4, 2)), np.zeros(4)
+    for w, i, (a, b) in zip(x, owner, owned, strict=True):
+        want[i] += model.probabilities(w[None])[a:b, 0].sum(axis=0)
+        n[i] += b - a
+    got = model.documents(texts)
+    assert got[1].sum() == 0 and n.tolist() == [len(t) for t in texts]
+    assert np.allclose(got[[0, 2, 3]], want[[0, 2, 3]] / n[[0, 2, 3], None], atol=1e-5)
+    monkeypatch.setattr(language_id, "LANES", 2)
+    assert np.allclose(model.documents(texts), got, atol=1e-5)
 
 
 def test_letters():
@@ -51,7 +64,7 @@ def test_letters():
 
 def test_identify(spark):
     docs = frame(spark)
-    langs, model = language_id.train(docs, hidden=12, steps=400)
+    langs, model = language_id.train(docs)
     assert langs == ["en", "fr"]
     got = language_id.identify(docs, langs, model).collect()
     assert len(got) == len(rows())
@@ -61,26 +74,29 @@ def test_identify(spark):
     assert [by_id[i] for i in (0, 1, 2, 4)] == ["und"] * 4
     held = [r for r in got if r.held_out and r.doc_id >= 20]
     assert held and all(by_id[r.doc_id] == ("en", "fr")[r.doc_id % 2] for r in held)
+    plain = Counter((r.doc_id, *language_id._predict(langs, model, [r.text or ""])[0]) for r in docs.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, r.lang_pred) for r in got) == plain
     kept = language_id.keep_identified(docs, langs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
+    french = language_id.keep_identified(docs, langs, model, wanted=["fr"], min_score=0.6)
+    assert Counter(r.doc_id for r in french.collect()) == Counter(r.doc_id for r in got if r.lang_pred == "fr" and r.score >= 0.6) and 0 < french.count() < kept.count()
+    untaught = language_id.keep_identified(docs, *language_id.train(docs.limit(0)))  # nothing learned rejects no letters
+    assert untaught.count() == sum(language_id.has_letter(r[1] or "") for r in rows())
     empty = frame(spark, [])
     assert language_id.identify(empty, *language_id.train(empty)).count() == 0
     nothing = language_id.identify(docs, *language_id.train(empty)).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == len(got)
 
 
-def test_training_sees_all_windows_of_long_words(spark, monkeypatch):
+def test_training_sees_all_windows_of_its_rows(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(language_id.BiGru, "fit", lambda self, windows, labels, **_: seen.append((windows, labels)))
-    texts = ["".join(chr(0x4E00 + (i * 37 + k) % 900) for k in range(200)) for i in range(40)] + ["kurz und " + "x" * 70]
+    monkeypatch.setattr(language_id.BiGru, "fit", lambda self, windows, owned, labels, **_: seen.append((windows, labels)))
+    texts = ["".join(chr(0x4E00 + (i * 37 + k) % 900) for k in range(200)) for i in range(40)] + ["kurz und " + "x" * 70, "", None]
     docs = frame(spark, [(i, t, "zh", "s", 1, *["x"] * 7) for i, t in enumerate(texts)])
     language_id.train(docs)
-    want = Counter(b[a : a + language_id.WINDOW] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 for w in t.split() for b in [w.encode()] for a in range(0, len(b), language_id.WINDOW))
+    want = Counter(w.tobytes() for w in language_id.windows_of([t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5])[0])
     windows, labels = seen[0]
-    assert Counter(windows) == want and len(labels) == len(windows)
-    seen.clear()
-    language_id.train(docs, words_per_row=5)  # a bounded sample, not of heads only
-    assert 0 < len(seen[0][0]) <= 5 * len(texts) and any(w not in {t.encode()[:32] for t in texts} for w in seen[0][0])
+    assert Counter(w.tobytes() for w in windows) == want and len(labels) == len(windows)
 
 
 def test_language_held_out_accuracy(spark):
@@ -100,6 +116,27 @@ def test_interactions_in_linear_time_equal_all_pairs():
     assert np.isclose(got[0], want)
 
 
+def test_score_of_a_text_by_all_pairs():
+    fm = quality.FactorisationMachine(rank=2)
+    rng = np.random.default_rng(3)
+    fm.w[:], fm.v[:] = rng.standard_normal(quality.SIZE) * 0.1, rng.standard_normal(fm.v.shape) * 0.1
+    for text in ("", "one word and one more word", prose("fr", 40), prose("en", 3000)):
+        at, value = fm.place(*quality.raw_features(text))
+        x: dict = {}
+        for a, v in zip(at.tolist(), value.tolist(), strict=True):
+            x[a] = x.get(a, 0) + v
+        keys = sorted(x)
+        margin = fm.w0[0] + sum(fm.w[a] * x[a] for a in keys) + sum(fm.v[a] @ fm.v[b] * x[a] * x[b] for i, a in enumerate(keys) for b in keys[:i])
+        assert np.isclose(fm.scores([text, "other text"])[0], 1 / (1 + np.exp(-margin)))
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    docs = frame(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20, 90)] + [(5, 1), (8, 0)], "doc_id long, quality int")
+    a, b = quality.train(docs, labels, sample_rows=40), quality.train(docs.repartition(3), labels.repartition(2), sample_rows=40)
+    assert np.array_equal(a.v, b.v) and np.array_equal(a.w, b.w)
+
+
 def test_compression_reads_the_whole_text():
     text = prose("en", 40_000)
     for n in (0, 1, 8191, 8192, 120_000, len(text)):
