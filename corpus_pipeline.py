@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redactum.llm import common, decontaminate, language_id, packing, secrets, simhash
 
+#: Languages of the corpus, and the mean probability that most of a text must reach.
+LANGUAGES: list[str] | None = None
+LEAST_SCORE = 0.5
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network tells; null texts and texts without a letter go."""
-    common.small_batches(spark)
-    return language_id.keep_identified(docs, *language_id.train(docs))
+    """Documents in one of LANGUAGES (None: any that the labels teach) with a score of LEAST_SCORE or more; texts of
+    mixed or unclear language, null texts and texts without a letter go."""
+    return language_id.keep_identified(docs, *language_id.train(docs), wanted=LANGUAGES, min_score=LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates: the one of the smallest id."""
-    common.small_batches(spark)
     return simhash.one_per_group(docs, words_per_shingle=3, distance=3)
 
 
@@ -30,13 +33,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked and n_chars adjusted."""
-    common.small_batches(spark)
     return secrets.mask_documents(docs, common.tokenizer_path("byte_bpe_50k.tiktoken"), length_col="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 2048 tokens."""
-    common.small_batches(spark, 2000)
     return packing.pack(docs, common.tokenizer_path("byte_bpe_50k.json"))
 
 
