@@ -219,3 +219,8 @@ def distance_bucket(d: Column) -> Column:
     """Signed log2 bucket of a distance, -8 to 8."""
     size = F.least(F.lit(8), F.floor(F.log2(F.abs(d).cast("double"))) + 1).cast("int")
     return F.when(d == 0, 0).otherwise(F.signum(d).cast("int") * size)
+
+
+def fill_key(c: Column) -> Column:
+    """Identity of a fill: two that differ in case only are one."""
+    return F.lower(c)

@@ -263,3 +263,18 @@ def injective_losses(decisions: DataFrame, key: str) -> DataFrame:
     """decisions (key, position, fill): fills an earlier decision of the document has, and how many decisions lose one."""
     w = Window.partitionBy(key, F.lower("fill")).orderBy("position")
     return decisions.withColumn("_r", F.row_number().over(w)).groupBy(key).agg(F.count_if(F.col("_r") > 1).alias("collisions"), F.count("*").alias("decisions"))
+
+
+def containment_recall(rows: DataFrame, by: list[str], *, threshold: float = 0.85) -> DataFrame:
+    """rows (by..., surface, text). (by..., n, recall): share of surfaces that the text holds by their containment score;
+    a null side holds nothing."""
+    hit = F.coalesce(containment_column(F.coalesce("surface", F.lit("")), F.coalesce("text", F.lit(""))) >= threshold, F.lit(False))
+    return rows.withColumn("_hit", hit.cast("double")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("_hit").alias("recall"))
+
+
+def sibling_pairs(mentions: DataFrame, key: str, kind: str, at: str, surface: str) -> DataFrame:
+    """(key, at, other): pairs of same-type mentions of one document that share their first word, earlier one first: the
+    pairs that a similarity model scores, which are the result itself."""
+    m = mentions.select(key, kind, at, F.lower(F.split_part(F.col(surface), F.lit(" "), F.lit(1))).alias("_w"))
+    other = m.select(key, kind, "_w", F.col(at).alias("other"))
+    return m.join(other, [key, kind, "_w"]).where(F.col(at) < F.col("other")).select(key, at, "other")

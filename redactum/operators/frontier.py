@@ -169,3 +169,11 @@ def hash_fold(key: Column, salt: str = "split", folds: int = 5) -> Column:
     digits = F.split(F.sha2(F.concat(F.lit(salt), F.lit("\x00"), key.cast("string")), 256), "")
     value = lambda d: F.instr(F.lit("0123456789abcdef"), d) - 1
     return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0), lambda s, d: s + value(d)) % 5
+
+
+def provisional_credit(assertions: DataFrame) -> DataFrame:
+    """assertions (doc, decision, weight, score, linked). (doc, decision, credit): the weighted mean score of a decision's
+    own linked assertions; a decision without any takes that of its whole document."""
+    mean = lambda ok: F.try_divide(F.sum(F.when(ok, F.col("weight") * F.col("score"))), F.sum(F.when(ok, F.col("weight"))))
+    whole = assertions.groupBy("doc").agg(mean(F.lit(True)).alias("whole"))
+    return assertions.groupBy("doc", "decision").agg(mean(F.col("linked")).alias("own")).join(whole, "doc").select("doc", "decision", F.coalesce("own", "whole").alias("credit"))

@@ -223,3 +223,19 @@ def normalized(values: DataFrame, key: list[str], value: str) -> DataFrame:
     """values with `normal`: share of the group's maximum, within [0, 1]; 1 for a single row."""
     w = Window.partitionBy(*key)
     return values.withColumn("normal", F.when(F.count("*").over(w) == 1, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value), F.max(value).over(w))))))
+
+
+def is_type_name(phrase: Column) -> Column:
+    """The phrase only names a type, without regard to case and outer blanks."""
+    return F.trim(F.lower(phrase)).isin(TYPE_LABELS)
+
+
+def ordered_levels(actions: Column) -> Column:
+    """Levels of actions (structs index, level) in authored order, placeholders left out."""
+    return F.transform(F.array_sort(F.filter(actions, lambda x: ~x["level"].startswith("<"))), lambda x: x["level"])
+
+
+def universe_counts(members: DataFrame, phrase: str, *columns: str) -> DataFrame:
+    """members (own name, then its units). (level, count): members below the level 'phrase X' of every unit."""
+    names = F.explode(F.array(*[F.col(c) for c in columns[1:]]))
+    return members.select(names.alias("x")).where("x IS NOT NULL").groupBy(F.concat(F.lit(phrase + " "), "x").alias("level")).agg(F.count("*").alias("count"))

@@ -217,3 +217,19 @@ def append_unique(existing: DataFrame, incoming: DataFrame, key: str) -> DataFra
 def events_report(parts: list[DataFrame]) -> DataFrame:
     """(code, action, n) over the union of event tables."""
     return reduce(DataFrame.unionByName, parts).groupBy("code", "action").agg(F.count("*").alias("n"))
+
+
+def stop_word(word: Column, profile: Column, lists: dict[str, list[str]]) -> Column:
+    """The word is on the stop list of its profile; an unknown profile has none."""
+    out = F.lit(False)
+    for name, words in lists.items():
+        out = F.when(profile == name, word.isin(words)).otherwise(out)
+    return out
+
+
+def vector_index(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """rows (key, vector) as an index: key, unit vector v, norm and the row's fingerprint, which names the text and
+    vector it was built from; vectors that are null or zero are left out."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    indexed = rows.select(key, F.col(vector).alias("v"), norm.alias("norm")).where("norm > 0")
+    return indexed.select(key, F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("v"), "norm", F.xxhash64(key, "v").alias("fingerprint"))

@@ -8,29 +8,57 @@ from pyspark.sql import functions as F
 from redactum.functions import text as T
 
 # fixed values: word lists that results depend on
-HEDGES = r"\b(if|unless|might|may|could|would|should|possible|possibly|consider|likely|in case)\b"
-NEGATIONS = r"\b(no|not|denies|denied|without|never|negative for)\b"
-CONDITION_WORDS = ["diabet", "depress", "cancer", "disorder", "syndrome", "disease", "illness", "asthma", "infection", "stroke", "fracture"]
-RELIGIONS = ["muslim", "christian", "catholic", "protestant", "jewish", "hindu", "buddhist", "orthodox"]
-NATIONALITIES = ["german", "austrian", "polish", "british", "swedish", "french", "american", "italian", "dutch", "turkish"]
-FAMILY = ["father", "mother", "son", "daughter", "brother", "sister", "wife", "husband", "cousin"]
-MARITAL = ["married", "divorced", "single", "widow", "widower", "separated"]
-PROFESSIONS = ["journalist", "lawyer", "doctor", "nurse", "teacher", "engineer", "judge"]
+NATIONALITIES = [
+    "german", "austrian", "polish", "british", "english", "swedish", "swiss", "spanish", "french",
+    "american", "romanian", "russian", "italian", "dutch", "greek", "turkish", "norwegian", "danish", "finnish",
+    "belgian", "portuguese", "irish", "scottish", "welsh", "czech", "slovak", "hungarian", "bulgarian", "ukrainian",
+    "croatian", "serbian", "bosnian", "albanian", "moldovan", "georgian", "armenian", "azerbaijani", "chinese",
+    "japanese", "korean", "indian", "pakistani", "afghan", "iranian", "iraqi", "syrian", "lebanese", "israeli",
+    "nigerian", "kenyan", "ghanaian", "egyptian", "moroccan", "algerian", "tunisian", "ethiopian", "somali", "manx",
+    "sierra leonean",
+]
+ETHNICITIES = ["kurdish", "gypsy", "gypsies", "roma", "romani", "sami", "tamil", "arab", "chechen", "tatar"]
+RELIGIONS = [
+    "muslim", "christian", "catholic", "protestant", "jewish", "hindu", "buddhist", "orthodox", "sunni",
+    "shia", "islam", "islamic", "christianity", "judaism", "jehovah", "evangelical", "atheist", "agnostic",
+]
+ORIENTATIONS = ["homosexual", "homosexuality", "gay", "lesbian", "bisexual", "heterosexual", "transsexual", "transgender", "lgbt"]
+GENDERS = ["male", "female", "man", "woman", "transgender man", "transgender woman"]
+MARITAL = ["married", "divorced", "single", "widow", "widower", "widowed", "unmarried", "separated"]
+FAMILY = [
+    "father", "mother", "son", "daughter", "brother", "sister", "wife", "husband", "spouse", "child",
+    "children", "grandmother", "grandfather", "grandchild", "parent", "sibling", "cousin", "uncle", "aunt",
+    "nephew", "niece", "stepson", "stepdaughter", "stepfather", "stepmother", "in-law", "widow", "widower",
+]
+CONDITION_WORDS = [
+    "diabet", "depress", "cancer", "hiv", "aids", "disorder", "syndrome", "disease", "illness",
+    "schizophren", "tumour", "tumor", "psychiat", "psycholog", "addict", "alcohol", "dementia", "epilep", "asthma",
+    "arthritis", "hepatitis", "paralys", "mesothelioma", "devitalis", "korsakoff", "traumatic stress", "disabil",
+    "blood pressure", "infection", "heart attack", "stroke", "injur", "fracture", "wound", "amputat",
+]
+PROFESSIONS = [
+    "journalist", "lawyer", "doctor", "nurse", "teacher", "engineer", "judge", "prosecutor", "accountant",
+    "officer", "officers", "police", "policeman", "soldier", "professor", "physician", "architect", "farmer",
+    "driver", "businessman", "politician", "priest", "minister", "author", "artist", "actor", "scientist",
+]
 PLACEHOLDER = r"^<[A-Z_]+_?[0-9]*>$"
 DATE_CUES = r"\b([0-9]{1,4}|january|february|march|april|may|june|july|august|september|october|november|december|today|yesterday|tomorrow|spring|summer|fall|autumn|winter|morning|evening|night|week|month|year)\b"
 QUANTITY_CUES = r"[0-9$€£%]|\b(dollars?|euros?|pounds?|percent|kg|mg|ml|miles?|hours?)\b"
 
 
 def demographic_leaf(surface: Column) -> Column:
-    """The finer type of a demographic surface, first rule that holds."""
+    """The finer type of a demographic surface, first rule that holds: conditions and orientations come before the
+    names of peoples, religions before nationalities."""
     s = F.trim(F.lower(surface))
     n = T.strip_plural(surface)
+    words = F.split(s, r"\s+")
     return (
-        F.when(s.rlike("|".join(CONDITION_WORDS)), "health-condition").when(s.isin(RELIGIONS), "religion")
-        .when(s.isin(NATIONALITIES) | s.rlike(" nationals?$"), "nationality").when(s.isin(MARITAL) | n.isin(MARITAL), "marital-status")
-        .when(s.isin(FAMILY) | n.isin(FAMILY) | F.arrays_overlap(F.split(s, " +"), F.array(*map(F.lit, FAMILY))), "family-role")
-        .when(s.rlike(r"\b(aged|years? old)\b|\b[0-9]{1,3}[- ]year|^[0-9]{1,3}$"), "age")
-        .when(s.isin(PROFESSIONS) | n.isin(PROFESSIONS) | s.rlike("(ist|ian)$"), "profession").otherwise("demographic-other")
+        F.when(s.rlike("|".join(CONDITION_WORDS)), "health-condition").when(s.isin(ORIENTATIONS) | s.contains("homosexual"), "sexual-orientation")
+        .when(s.isin(RELIGIONS), "religion").when(s.isin(ETHNICITIES), "ethnicity").when(s.isin(NATIONALITIES) | s.endswith(" national") | s.endswith(" nationals"), "nationality")
+        .when(s.isin(GENDERS), "gender").when(s.isin(MARITAL) | n.isin(MARITAL), "marital-status")
+        .when(s.isin(FAMILY) | n.isin(FAMILY) | F.arrays_overlap(words, F.array(*map(F.lit, FAMILY))), "family-role")
+        .when(s.rlike(r"\b(?:aged|years? old)\b|\b[0-9]{1,3}[- ]year|^[0-9]{1,3}$"), "age")
+        .when(s.isin(PROFESSIONS) | n.isin(PROFESSIONS) | s.endswith("ist") | s.endswith("ian"), "profession").otherwise("demographic-other")
     )
 
 
@@ -48,14 +76,6 @@ def joined_contractions(text: Column) -> Column:
     return F.regexp_replace(text, r"\b([Ww]an|[Gg]on) (na)\b", "$1$2 ")
 
 
-def hedged(text: Column) -> Column:
-    return F.lower(text).rlike(HEDGES)
-
-
-def negated(text: Column) -> Column:
-    return F.lower(text).rlike(NEGATIONS)
-
-
 def leak_tokens(question: Column, answer: Column, stop: list[str]) -> Column:
     """Answer words of three letters or more that the question gives away."""
     return F.array_intersect(T.tokens(answer, 3, stop), T.tokens(question, 3, stop))
@@ -64,9 +84,10 @@ def leak_tokens(question: Column, answer: Column, stop: list[str]) -> Column:
 def typed_pairs(arguments: DataFrame, signatures: DataFrame, place: list[str]) -> DataFrame:
     """arguments (place..., id, type), signatures (relation, subject, object). Pairs of one place whose types fit a relation.
 
-    Arguments of a place meet through the types a relation allows, not each with each.
+    Arguments of a place meet through the types a relation allows; a place's pairs are the result itself, so a place
+    with many arguments of fitting types has as many rows.
     """
-    a = arguments.select(*place, F.col("id").alias("subject_id"), F.col("type").alias("subject")).join(F.broadcast(signatures), "subject")
+    a = arguments.select(*place, F.col("id").alias("subject_id"), F.col("type").alias("subject")).join(signatures, "subject")
     b = arguments.select(*place, F.col("id").alias("object_id"), F.col("type").alias("object"))
     return a.join(b, [*place, "object"]).where("subject_id <> object_id").select(*place, "relation", "subject_id", "object_id")
 

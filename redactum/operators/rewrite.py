@@ -115,3 +115,8 @@ def restored(frame: DataFrame, spans: DataFrame, *, key: str = "doc_id", text: s
     r = spans.groupBy(key).agg(F.collect_set(F.struct("surface", "replacement")).alias("_r"))
     turn = F.pandas_udf(restore, "string")
     return frame.join(r, key, "left").withColumn(out, F.when(F.col("_r").isNull(), F.col(text)).otherwise(turn(text, "_r"))).drop("_r")
+
+
+def retained(action: Column, policy: Column) -> Column:
+    """A generalisation that its policy keeps: it is not restored."""
+    return F.coalesce((action == "generalize") & (policy == "keep"), F.lit(False))

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from redactum.functions import text as T
 from redactum.operators import curation as C
-from redactum.operators import segment, spans
+from redactum.operators import compiler, reports, segment, spans
 from redactum.plans.base import query
 from redactum.plans.span_queries import _spans, with_spans
+from redactum.sources import readers
 
 
-@query("H3_ingredient_index", "SELECT name, min(base) AS base FROM (SELECT lower(unnest([p_name, p_brand])) AS name, p_type AS base FROM part WHERE p_size = 9) WHERE NOT regexp_matches(name, '[0-9]') GROUP BY name HAVING count(DISTINCT base) = 1")
+@query("H3_ingredient_index", "SELECT name, min(base) AS base FROM (SELECT lower(unnest([p_name || ' ' || p_brand, p_type || ' by ' || p_brand[7:]])) AS name, p_type AS base FROM part) WHERE NOT regexp_matches(name, '[0-9]') GROUP BY name HAVING count(DISTINCT base) = 1 UNION ALL SELECT name, min(base) FROM (SELECT lower(p_type || ' of ' || p_name) AS name, p_type AS base FROM part) GROUP BY name HAVING count(DISTINCT base) = 1")
 def _(read, spark):
-    return C.ingredient_index(read("part").where("p_size = 9").select(F.array("p_name", "p_brand").alias("names"), F.array("p_type").alias("ingredients")))
+    names = F.array(F.concat_ws(" ", "p_name", "p_brand"), F.concat("p_type", F.lit(" by "), F.expr("substring(p_brand, 7)")), F.concat("p_type", F.lit(" of "), "p_name"))
+    return C.ingredient_index(read("part").select(names.alias("names"), F.array("p_type").alias("ingredients")))
 
 
 @query("A16_counted_surfaces", "SELECT lower(c_mktsegment) AS surface, count(*) AS count, max(c_nationkey) AS level FROM customer GROUP BY 1")
@@ -21,9 +23,10 @@ def _(read, spark):
     return C.counted_surfaces(read("customer"), "c_mktsegment", "c_nationkey")
 
 
-@query("A15_single_group_titles", "SELECT lower(p_name) AS title, min(p_brand[:7]) AS \"group\" FROM part WHERE p_size IN (3, 4) GROUP BY 1 HAVING count(DISTINCT p_brand[:7]) = 1")
+@query("A15_single_group_titles", "SELECT title, min(g) AS \"group\" FROM (SELECT lower(p_name || ' ' || p_size) AS title, p_brand[:7] AS g FROM part) GROUP BY 1 HAVING count(DISTINCT g) = 1")
 def _(read, spark):
-    return C.single_group_titles(read("part").where("p_size IN (3, 4)"), "p_name", "p_brand", 7)
+    rows = read("part").select(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("title"), "p_brand")
+    return C.single_group_titles(rows, "title", "p_brand", 7)
 
 
 @query("A22_length_range", "SELECT doc_id FROM documents WHERE len(text) BETWEEN 500 AND 5000")
@@ -31,14 +34,10 @@ def _(read, spark):
     return C.within_length(read("documents"), 500, 5000).select("doc_id")
 
 
-@query("A7_seeded_order", "SELECT doc_id, CAST(row_number() OVER (ORDER BY CASE WHEN doc_id < 3 THEN 0 ELSE 1 END, CASE WHEN doc_id < 3 THEN lpad(CAST(doc_id AS VARCHAR), 9, '0') ELSE sha256('7|' || doc_id) END) - 1 AS INTEGER) AS position FROM documents")
+@query("A7_seeded_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id < 3 THEN 0 ELSE 1 END, CASE WHEN doc_id < 3 THEN lpad(CAST(doc_id AS VARCHAR), 9, '0') ELSE sha256('7|' || doc_id) END, doc_id) - 1 AS position FROM documents")
 def _(read, spark):
-    from pyspark.sql import Window
-
     """The first rows keep their places, the tail follows in hash order."""
-    head = F.col("doc_id") < 3
-    order = F.when(head, F.lpad(F.col("doc_id").cast("string"), 9, "0")).otherwise(F.sha2(F.concat_ws("|", F.lit("7"), F.col("doc_id").cast("string")), 256))
-    return read("documents").select("doc_id", (F.row_number().over(Window.orderBy((~head).cast("int"), order)) - 1).alias("position"))
+    return readers.seeded_order(read("documents").select("doc_id"), F.col("doc_id") < 3, "doc_id", seed="7")
 
 
 @query("R1_registry", "SELECT event_id, CASE event_type WHEN 'error' THEN 'placeholder' WHEN 'click' THEN 'lattice' ELSE 'unmapped' END AS outcome FROM events")
@@ -120,10 +119,10 @@ def _(read, spark):
     return read("part").select("p_partkey", C.prose_list(a).alias("phrase"))
 
 
-@query("B26_teacher_text", "SELECT p_partkey, 'the owner has a ' || p_name AS text FROM part")
+@query("B26_teacher_text", "SELECT p_partkey, 'the owner has a ' || p_name || ' of ' || lower(p_type) AS text FROM part")
 def _(read, spark):
-    snake = F.concat(F.lit("the_owner has a "), F.replace("p_name", F.lit(" "), F.lit("_")))
-    return read("part").select("p_partkey", F.translate(snake, "_", " ").alias("text"))
+    snake = F.concat(F.lit(" the_owner has  a "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_of  "), F.lower("p_type"))
+    return read("part").select("p_partkey", compiler.underscored(snake).alias("text"))
 
 
 _CLAUSES = r"(SELECT doc_id, len(x) AS n, sum(len(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$') AS l FROM documents)))"
@@ -148,10 +147,12 @@ def _(read, spark):
     return _spans(read).groupBy("type").agg(F.count("*").alias("n"), short.alias("short"), F.count_if(F.col("start") == 0).alias("at_start"), (short <= 5).alias("ok"))
 
 
-@query("I5_containment", "SELECT p_partkey, 1.0 AS score FROM part WHERE p_size < 10")
+@query("I5_containment")
 def _(read, spark):
-    p = read("part").where("p_size < 10")
-    return p.select("p_partkey", C.containment_column(F.upper("p_name"), F.concat(F.lit("the "), "p_name", F.lit(" here"))).alias("score"))
+    """Containment of a name in a text that holds it, one word of it, or another name; no SQL has the fuzzy ratio, tests
+    hold it to brute force."""
+    text = F.concat(F.lit("the "), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.col("p_type")), F.lit(" here"))
+    return read("part").select("p_partkey", C.containment_column(F.upper("p_name"), text).alias("score"))
 
 
 @query("L3_best_with_margin", "SELECT l_orderkey, candidate, score FROM (SELECT l_orderkey, l_linenumber AS candidate, score, row_number() OVER w AS r, lead(score) OVER w AS n FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber)) WHERE r = 1 AND score >= 30 AND score - coalesce(n, 0) >= 4")
@@ -172,17 +173,17 @@ def _(read, spark):
     return read("part").select("p_partkey", C.reward_role(F.array("p_type", "p_brand"), ["SMALL", "LARGE"]).alias("role"))
 
 
-@query("O8_component_scores", "SELECT user_id, event_type, avg(value) AS score, avg(avg(value)) OVER (PARTITION BY user_id) AS utility FROM events GROUP BY user_id, event_type")
+@query("O8_component_scores", "WITH s AS (SELECT user_id, event_type, avg(value) AS score FROM events GROUP BY 1, 2), w AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY 1) SELECT user_id, s.event_type, score, sum(weight * score) OVER (PARTITION BY user_id) / sum(weight) OVER (PARTITION BY user_id) AS utility FROM s JOIN w ON s.event_type = w.event_type")
 def _(read, spark):
-    from pyspark.sql import Window
-
-    s = read("events").groupBy("user_id", "event_type").agg(F.avg("value").alias("score"))
-    return s.withColumn("utility", F.avg("score").over(Window.partitionBy("user_id")))
+    """Component scores and their mean, weighted by how common a component is."""
+    weights = read("events").groupBy("event_type").agg(F.count("*").cast("double").alias("weight"))
+    return reports.component_utility(read("events"), weights, "user_id", "event_type", "value")
 
 
-@query("O11_protected_terms", "SELECT p_partkey, p_name || CASE WHEN p_type <> p_name THEN '|' || p_type ELSE '' END AS terms FROM part")
+@query("O11_protected_terms", "SELECT p_partkey, p_name || '|' || p_type || CASE WHEN p_size % 2 = 0 THEN '|' || p_brand ELSE '' END AS terms FROM part")
 def _(read, spark):
-    return read("part").select("p_partkey", F.array_join(F.array_distinct(F.array("p_name", "p_name", "p_type")), "|").alias("terms"))
+    terms = compiler.protected_terms(F.col("p_name"), F.lit(" "), F.col("p_type"), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.col("p_type"))
+    return read("part").select("p_partkey", F.array_join(terms, "|").alias("terms"))
 
 
 @query("O15_fact_keys", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'treats|' || l_partkey || '|' || l_suppkey ELSE 'pairs|' || least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '|' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) END AS key FROM lineitem")
@@ -220,9 +221,9 @@ def _(read, spark):
     return C.pair_accuracy(read("lineitem"), "l_orderkey", "l_quantity", "l_extendedprice")
 
 
-@query("Q3_log_errors", "SELECT p_brand, count(*) AS n, quantile_cont(abs(ln((p_size + 5.0) / p_size)), 0.5) AS median_error, avg(CASE WHEN abs(ln((p_size + 5.0) / p_size)) <= ln(2.0) THEN 1.0 ELSE 0 END) AS covered FROM part WHERE p_size > 0 AND p_size <> 5 GROUP BY p_brand")
+@query("Q3_log_errors", "SELECT p_brand, count(*) AS n, quantile_cont(abs(ln((p_size + 5.0) / p_size)), 0.5) AS median_error, avg(CASE WHEN abs(ln((p_size + 5.0) / p_size)) <= ln(2.0) + 1e-9 THEN 1.0 ELSE 0 END) AS covered FROM (SELECT p_brand, p_size + 0.25 AS p_size FROM part) GROUP BY p_brand")
 def _(read, spark):
-    rows = read("part").where("p_size > 0 AND p_size <> 5").select("p_brand", F.col("p_size").cast("double").alias("t"), (F.col("p_size") + 5.0).alias("g"))
+    rows = read("part").select("p_brand", (F.col("p_size") + 0.25).alias("t"), (F.col("p_size") + 5.25).alias("g"))
     return C.log_errors(rows, "p_brand", "t", "g")
 
 
@@ -252,12 +253,12 @@ def _(read, spark):
 
 @query("N8_gate_patterns", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS \"F\", count(*) FILTER (WHERE l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
 def _(read, spark):
-    return read("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count()
+    return reports.patterns(read("lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
 
 
-@query("P35_epoch_report", "SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS mean FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("P35_epoch_report", "SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS mean, avg(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0 END) AS taxed FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def _(read, spark):
-    return read("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"))
+    return reports.stratified(read("lineitem"), ["l_returnflag", "l_linestatus"], mean=F.col("l_quantity"), taxed=F.col("l_tax") > 0.04)
 
 
 @query("M17_ngram_mi", """
@@ -281,7 +282,7 @@ def _(read, spark):
 
 @query("F22_collapse_rule", "SELECT event_type, avg(value) AS observed, avg(value) < 20 AS fires FROM events GROUP BY event_type")
 def _(read, spark):
-    return read("events").groupBy("event_type").agg(F.avg("value").alias("observed"), (F.avg("value") < 20).alias("fires"))
+    return reports.collapse(read("events"), ["event_type"], "value", 20)
 
 
 @query("G9_first_occurrence", with_spans("SELECT type, lower(surface) AS surface, min(doc_id) AS doc_id FROM s GROUP BY 1, 2"))
@@ -290,12 +291,12 @@ def _(read, spark):
     return _spans(read).groupBy("type", F.lower("surface").alias("surface")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("I11_within_doc_pairs", with_spans("SELECT a.doc_id, a.start, b.start AS other FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.type = b.type AND a.start < b.start AND lower(split_part(a.surface, ' ', 1)) = lower(split_part(b.surface, ' ', 1)) AND a.recognizer = 'license' AND b.recognizer = 'license'"))
+@query("I11_within_doc_pairs", "WITH s AS (SELECT l_orderkey AS doc_id, l_returnflag AS type, l_linenumber AS start, p_name AS surface FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT a.doc_id, a.start, b.start AS other FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.type = b.type AND a.start < b.start AND split_part(a.surface, ' ', 1) = split_part(b.surface, ' ', 1)")
 def _(read, spark):
     """Same-type mentions of one document that share their first word: the pairs a similarity model would score."""
-    s = _spans(read).where("recognizer = 'license'").withColumn("w", F.lower(F.split_part("surface", F.lit(" "), F.lit(1))))
-    o = s.select("doc_id", "type", "w", F.col("start").alias("other"))
-    return s.join(o, ["doc_id", "type", "w"]).where("start < other").select("doc_id", "start", "other")
+    m = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    m = m.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("start"), F.col("p_name").alias("surface"))
+    return C.sibling_pairs(m, "doc_id", "type", "start", "surface")
 
 
 @query("O25_premises", with_spans("SELECT doc_id, type, string_agg(DISTINCT surface, '; ' ORDER BY surface) AS premise FROM s GROUP BY doc_id, type"))

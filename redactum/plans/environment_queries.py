@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from redactum.functions import text as T
 from redactum.operators import environment as N
-from redactum.operators import patterns, relations
+from redactum.operators import compiler, lattice, patterns, producer, relations, reports
 from redactum.plans.base import query
 from redactum.plans.span_queries import CANON, with_spans
 
@@ -93,13 +93,29 @@ def _(read, spark):
     return N.population(read("lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_discount").alias("before"), F.col("l_tax").alias("after")), "grp")
 
 
-_DEM = ["French", "two diabetics", "my Sisters", "a Dutch national", "widowers", "34 years old", "dentist", "catholic", "blue"]
-_LEAF = ["nationality", "health-condition", "demographic-other", "nationality", "marital-status", "age", "profession", "religion", "demographic-other"]
+_LISTS = {k: getattr(relations, k) for k in ("CONDITION_WORDS", "ORIENTATIONS", "RELIGIONS", "ETHNICITIES", "NATIONALITIES", "GENDERS", "MARITAL", "FAMILY", "PROFESSIONS")}
+_WORDS = [w for words in _LISTS.values() for w in words] + ["dentist", "34", "musician", "blue", "two diabetics"]
 
 
-@query("B32_demographic_leaf", f"SELECT p_partkey, {_LEAF}[p_partkey % 9 + 1] AS leaf FROM part")
+def _sql(words):
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+@query("B32_demographic_leaf", f"""WITH s AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN w WHEN 1 THEN upper(w) || 's' WHEN 2 THEN 'a ' || w || ' national' WHEN 3 THEN ' my  ' || w || ' ' WHEN 4 THEN w || ' aged ' || p_size ELSE p_name END AS surface
+  FROM (SELECT *, {_sql(_WORDS)}[p_partkey % {len(_WORDS)} + 1] AS w FROM part)),
+t AS (SELECT p_partkey, trim(lower(surface)) AS s, regexp_replace(trim(regexp_replace(lower(surface), '[ \\t\\n\\r]+', ' ', 'g')), 's+$', '') AS n FROM s)
+SELECT p_partkey, CASE WHEN len(list_filter({_sql(relations.CONDITION_WORDS)}, lambda k: contains(s, k))) > 0 THEN 'health-condition' WHEN list_contains({_sql(relations.ORIENTATIONS)}, s) OR contains(s, 'homosexual') THEN 'sexual-orientation'
+  WHEN list_contains({_sql(relations.RELIGIONS)}, s) THEN 'religion' WHEN list_contains({_sql(relations.ETHNICITIES)}, s) THEN 'ethnicity' WHEN list_contains({_sql(relations.NATIONALITIES)}, s) OR s LIKE '% national' OR s LIKE '% nationals' THEN 'nationality'
+  WHEN list_contains({_sql(relations.GENDERS)}, s) THEN 'gender' WHEN list_contains({_sql(relations.MARITAL)}, s) OR list_contains({_sql(relations.MARITAL)}, n) THEN 'marital-status'
+  WHEN list_contains({_sql(relations.FAMILY)}, s) OR list_contains({_sql(relations.FAMILY)}, n) OR list_has_any(string_split_regex(s, '\\s+'), {_sql(relations.FAMILY)}) THEN 'family-role'
+  WHEN regexp_matches(s, '\\b(aged|years? old)\\b|\\b[0-9]{{1,3}}[- ]year|^[0-9]{{1,3}}$') THEN 'age' WHEN list_contains({_sql(relations.PROFESSIONS)}, s) OR list_contains({_sql(relations.PROFESSIONS)}, n) OR s LIKE '%ist' OR s LIKE '%ian' THEN 'profession' ELSE 'demographic-other' END AS leaf FROM t""")
 def _(read, spark):
-    s = F.element_at(F.array(*map(F.lit, _DEM)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    """Every word of the lists, plain, in plural, as a national, behind a possessive, with an age; and names."""
+    w, size = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % len(_WORDS) + 1).cast("int")), F.col("p_size") % 6
+    s = (
+        F.when(size == 0, w).when(size == 1, F.concat(F.upper(w), F.lit("s"))).when(size == 2, F.concat(F.lit("a "), w, F.lit(" national")))
+        .when(size == 3, F.concat(F.lit(" my  "), w, F.lit(" "))).when(size == 4, F.concat(w, F.lit(" aged "), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
+    )
     return read("part").select("p_partkey", relations.demographic_leaf(s).alias("leaf"))
 
 
@@ -117,9 +133,24 @@ def _(read, spark):
     return read("part").select("p_partkey", v.alias("view"), (F.length(v) == F.length(t)).alias("same_length"))
 
 
-@query("D9_hedges", "SELECT item_id, regexp_matches(lower(text), '\\b(if|unless|might|may|could|would|should|possible|possibly|consider|likely|in case)\\b') AS hedged, regexp_matches(lower(text), '\\b(no|not|denies|denied|without|never|negative for)\\b') AS negated FROM benchmark")
+@query("D9_hedges", r"""WITH t AS (SELECT p_partkey, p_size, ['maybe we ', 'if symptoms go on ', 'if and when ', 'we TALK  about ', 'we start '][p_partkey % 5 + 1] AS lead, p_name FROM part),
+u AS (SELECT *, 'it might rain. ' || p_name || ' ' || lead || p_name || ', perhaps' AS text, CASE WHEN p_size % 3 = 0 THEN 'tests_for' ELSE 'prescribed_with' END AS relation FROM t)
+SELECT p_partkey, relation <> 'tests_for' AND p_size % 4 <> 1 AND regexp_matches(substr(text, CASE WHEN p_size % 4 = 2 THEN 1 ELSE 16 END, CASE WHEN p_size % 4 = 2 THEN 15 ELSE 0 END + 2 * len(p_name) + len(lead) + 1), '(?i)\b(possibly|possible|maybe|perhaps|might|consider|talk\s+about|discuss|if\s+(your|you|we|he|she|it|they|the|his|her|symptoms|there|needed))\b') AS hedged,
+       regexp_matches('would it be ' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE lead END, '(?i)\b(may|might|could|would|possibl\w*|potential\w*|planned|plan\s+to|consider\w*|recommend\w*|in\s+the\s+future|future|if\s+\w+)\b') AS conditional, regexp_matches(lower(lead || CASE WHEN p_size % 2 = 0 THEN 'not ' ELSE 'nothing ' END), '\b(no|not|without|denies|denied)\b') AS negated FROM u""")
 def _(read, spark):
-    return read("benchmark").select("item_id", relations.hedged(F.col("text")).alias("hedged"), relations.negated(F.col("text")).alias("negated"))
+    """Hedges count between the arguments only, and not for tests; a question may be conditional itself."""
+    lead = F.element_at(F.array(*map(F.lit, ["maybe we ", "if symptoms go on ", "if and when ", "we TALK  about ", "we start "])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    t = read("part").select("p_partkey", "p_size", "p_name", lead.alias("lead"))
+    text = F.concat(F.lit("it might rain. "), "p_name", F.lit(" "), "lead", "p_name", F.lit(", perhaps"))
+    n, k = F.length("p_name"), F.length("lead")
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    first = F.when(F.col("p_size") % 4 == 2, span(F.lit(0), n)).otherwise(span(F.lit(15), n + 15))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spans = F.when(F.col("p_size") % 4 == 1, none).otherwise(F.array(span(16 + n + k, 16 + 2 * n + k), first))
+    relation = F.when(F.col("p_size") % 3 == 0, "tests_for").otherwise("prescribed_with")
+    question = F.concat(F.lit("would it be "), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("lead")))
+    said = F.concat("lead", F.when(F.col("p_size") % 2 == 0, "not ").otherwise("nothing "))
+    return t.select("p_partkey", compiler.hedged_window(text, spans, relation).alias("hedged"), compiler.conditional_question(question).alias("conditional"), compiler.negated(said).alias("negated"))
 
 
 @query("F13_answer_leaks", "SELECT p_partkey, len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda t: len(t) > 2)), list_distinct(list_filter(regexp_extract_all(lower('which red thing is a ' || p_type), '[a-z]+'), lambda t: len(t) > 2)))) AS leaks FROM part")
@@ -189,10 +220,12 @@ def _(read, spark):
     return relations.fold(rows, merges)
 
 
-@query("H15_ontology_ids", "SELECT p_name AS canonical, CASE WHEN p_name LIKE 'red%' THEN 'id:' || p_name WHEN count(DISTINCT p_type) = 1 THEN 'id:' || min(p_type) END AS id FROM part WHERE p_size = 7 GROUP BY p_name")
+@query("H15_ontology_ids", "SELECT p_name AS canonical, CASE WHEN p_name LIKE 'red%' THEN 'id:' || p_name WHEN count(DISTINCT p_brand) = 1 THEN 'id:' || min(p_brand) END AS id FROM (SELECT p_name || ' ' || p_size || p_type AS p_name, p_brand FROM part) GROUP BY p_name")
 def _(read, spark):
-    rows = read("part").where("p_size = 7").groupBy(F.col("p_name").alias("canonical")).agg(F.collect_set("p_type").alias("aliases"))
-    names = read("part").where("p_name LIKE 'red%'").select(F.col("p_name").alias("surface")).unionByName(read("part").select(F.col("p_type").alias("surface"))).distinct()
+    """The canonical's own id, else the one its aliases agree on."""
+    named = read("part").select(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), "p_type").alias("canonical"), "p_brand")
+    rows = named.groupBy("canonical").agg(F.collect_set("p_brand").alias("aliases"))
+    names = named.where("canonical LIKE 'red%'").select(F.col("canonical").alias("surface")).unionByName(named.select(F.col("p_brand").alias("surface"))).distinct()
     return relations.ontology_id(rows, names.withColumn("id", F.concat(F.lit("id:"), "surface")))
 
 
@@ -225,49 +258,51 @@ def _(read, spark):
     return relations.mixture(read("documents").select("lang", "doc_id"), "lang", {"en": 30, "fr": 10}, "doc_id")
 
 
-@query("S12_offset_checked", "SELECT doc_id, 'ok' AS state FROM documents WHERE text[5:9] = text[5:9] AND doc_id % 2 = 0 AND len(text) >= 9")
+@query("S12_offset_checked", "SELECT doc_id, text[5:9] AS surface FROM documents WHERE len(text) >= 9 AND CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN text[5:9] = text[6:10] ELSE text[5:9] = lower(text[5:9]) END")
 def _(read, spark):
-    """Source rows whose offsets give their surface stay."""
+    """Source rows whose offsets give their surface: right ones, ones off by one and ones in another case."""
     d = read("documents").where("length(text) >= 9")
-    rows = d.withColumn("surface", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 5)).otherwise("no such"))
-    return rows.where(F.substring("text", 5, 5) == F.col("surface")).select("doc_id", F.lit("ok").alias("state"))
+    kind = F.col("doc_id") % 3
+    surface = F.when(kind == 0, F.substring("text", 5, 5)).when(kind == 1, F.substring("text", 6, 5)).otherwise(F.lower(F.substring("text", 5, 5)))
+    rows = d.select("doc_id", "text", F.lit(4).alias("start"), F.lit(9).alias("end"), surface.alias("surface"))
+    return reports.offset_checked(rows, "text", "start", "end", "surface").select("doc_id", "surface")
 
 
 @query("I7_deduplicated_pairs", "SELECT l_orderkey, l_linenumber, len(p_name) + len(p_type) AS score FROM lineitem JOIN part ON l_partkey = p_partkey")
 def _(read, spark):
     """Distinct texts are scored once and joined back; here the score is their length."""
     j = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "p_type")
-    once = j.select("p_name", "p_type").distinct().withColumn("score", (F.length("p_name") + F.length("p_type")).cast("long"))
-    return j.join(F.broadcast(once), ["p_name", "p_type"]).select("l_orderkey", "l_linenumber", "score")
+    length = lambda once: once.withColumn("score", (F.length("p_name") + F.length("p_type")).cast("long"))
+    return reports.scored_once(j, ["p_name", "p_type"], length).select("l_orderkey", "l_linenumber", "score")
 
 
-@query("Q13_rules", "SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 THEN 'high' ELSE 'low' END AS rule FROM events")
+@query("Q13_rules", "SELECT event_id, CASE WHEN k >= 80 THEN 'top' WHEN k >= 50 THEN 'high' ELSE 'low' END AS rule FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)")
 def _(read, spark):
-    return read("events").select("event_id", F.when(F.get_json_object("props", "$.k").cast("long") >= 50, "high").otherwise("low").alias("rule"))
+    return read("events").select("event_id", reports.resolved_rule(F.col("props"), "$.k", [("top", 80.0), ("high", 50.0)], "low").alias("rule"))
 
 
-@query("Q5_distinct_menus", "SELECT p_brand, count(DISTINCT menu) AS menus FROM (SELECT p_brand, p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS menu FROM part GROUP BY 1, 2) GROUP BY p_brand")
+@query("Q5_distinct_menus", "SELECT p_brand, min(p_name) AS p_name, menu FROM (SELECT p_brand, p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS menu FROM part GROUP BY 1, 2) GROUP BY p_brand, menu")
 def _(read, spark):
-    menus = read("part").groupBy("p_brand", "p_name").agg(F.array_sort(F.collect_set("p_type")).alias("menu"))
-    return menus.dropDuplicates(["p_brand", "menu"]).groupBy("p_brand").agg(F.count("*").alias("menus"))
+    m = reports.distinct_menus(read("part"), "p_brand", "p_name", "p_type")
+    return m.select("p_brand", "p_name", F.array_join("actions", ",").alias("menu"))
 
 
-@query("N6_scores", f"SELECT d.source, count(*) AS n, avg(CASE WHEN len(b.text) > 300 THEN 1.0 ELSE 0 END) AS recall FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 GROUP BY d.source")
+@query("N6_scores", "SELECT d.source, count(*) AS n, avg(CASE WHEN len(b.text) > 300 THEN 1.0 ELSE 0 END) AS recall, avg(len(b.text) / (len(b.text) + n_chars)) AS share FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 GROUP BY d.source")
 def _(read, spark):
-    j = read("documents").select("source", (F.col("doc_id") % 40).alias("item_id")).join(F.broadcast(read("benchmark")), "item_id")
-    return j.groupBy("source").agg(F.count("*").alias("n"), F.avg((F.length("text") > 300).cast("double")).alias("recall"))
+    b = read("benchmark").select("item_id", F.length("text").alias("size"))
+    j = read("documents").select("source", "n_chars", (F.col("doc_id") % 40).alias("item_id")).join(b, "item_id")
+    return reports.summary(j, ["source"], recall=F.col("size") > 300, share=F.col("size") / (F.col("size") + F.col("n_chars")))
 
 
-@query("B33_type_phrase", "SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'a small part' ELSE 'a part' END AS phrase FROM part")
+@query("B33_type_phrase", "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'a small part' WHEN 'LARGE' THEN 'a large part' ELSE 'a part of ' || p_brand END AS phrase FROM part")
 def _(read, spark):
-    phrases = F.create_map(F.lit("SMALL"), F.lit("a small part"))
-    return read("part").select("p_partkey", F.coalesce(phrases[F.col("p_type")], F.lit("a part")).alias("phrase"))
+    return read("part").select("p_partkey", producer.looked_up(F.col("p_type"), {"SMALL": "a small part", "LARGE": "a large part"}, F.concat(F.lit("a part of "), "p_brand")).alias("phrase"))
 
 
 @query("B30_prompts", "SELECT p_partkey, replace(CASE WHEN p_type = 'SMALL' THEN 'Summarize: {doc}' ELSE 'Answer: {doc}' END, '{doc}', p_name) AS prompt FROM part")
 def _(read, spark):
-    templates = F.create_map(F.lit("SMALL"), F.lit("Summarize: {doc}"))
-    return read("part").select("p_partkey", F.replace(F.coalesce(templates[F.col("p_type")], F.lit("Answer: {doc}")), F.lit("{doc}"), F.col("p_name")).alias("prompt"))
+    """The template of the corpus, else the default one."""
+    return read("part").select("p_partkey", producer.filled(producer.looked_up(F.col("p_type"), {"SMALL": "Summarize: {doc}"}, "Answer: {doc}"), doc=F.col("p_name")).alias("prompt"))
 
 
 @query("C15_meaningful_tokens", "SELECT item_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: len(t) > 1 AND NOT list_contains(['the', 'of', 'and'], t)))) AS n FROM benchmark")
@@ -275,31 +310,27 @@ def _(read, spark):
     return read("benchmark").select("item_id", F.size(T.tokens(F.col("text"), 2, ["the", "of", "and"])).cast("long").alias("n"))
 
 
-@query("M8_substitution_rate", "SELECT l_suppkey, avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0 END) AS self_rate, count(DISTINCT l_linestatus || l_returnflag) AS outputs FROM lineitem GROUP BY l_suppkey")
+@query("M8_substitution_rate", "SELECT l_suppkey, avg(CASE WHEN l_returnflag = w THEN 1.0 ELSE 0 END) AS self_rate, count(DISTINCT l_returnflag) AS outputs FROM (SELECT *, CASE l_linestatus WHEN 'O' THEN 'N' ELSE 'A' END AS w FROM lineitem) GROUP BY l_suppkey")
 def _(read, spark):
-    return read("lineitem").groupBy("l_suppkey").agg(F.avg((F.col("l_returnflag") == "N").cast("double")).alias("self_rate"), F.countDistinct(F.concat("l_linestatus", "l_returnflag")).alias("outputs"))
+    rows = read("lineitem").withColumn("w", F.when(F.col("l_linestatus") == "O", "N").otherwise("A"))
+    return reports.self_substitution(rows, ["l_suppkey"], "w", "l_returnflag")
 
 
-@query("M19_rank_agreement", "SELECT a.l_orderkey, avg(CASE WHEN (a.l_quantity > b.l_quantity) = (a.l_extendedprice > b.l_extendedprice) THEN 1.0 ELSE 0 END) AS agreement FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice GROUP BY 1")
+@query("M19_rank_agreement", "SELECT a.l_orderkey, avg(CASE WHEN b.l_quantity >= a.l_quantity THEN 1.0 ELSE 0 END) AS agreement FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice GROUP BY 1")
 def _(read, spark):
-    """Pairs of one span's few candidates (an order's lines)."""
-    v = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_quantity"))).alias("v"))
-    pair = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b.l_extendedprice > a.l_extendedprice), lambda b: ((a.l_quantity > b.l_quantity) == F.lit(False)).cast("double"))))
-    mean = F.aggregate("p", F.lit(0.0), lambda s, x: s + x) / F.size("p")
-    return v.select("l_orderkey", pair.alias("p")).where(F.size("p") > 0).select("l_orderkey", mean.alias("agreement"))
+    return reports.rank_agreement(read("lineitem"), "l_orderkey", "l_extendedprice", "l_quantity")
 
 
 @query("K10_privacy_reward", "SELECT user_id, coalesce(avg(value) FILTER (WHERE event_type = 'click'), 0) AS mean, coalesce(max(value) FILTER (WHERE event_type = 'click'), 0) AS high, count(*) FILTER (WHERE event_type = 'click') AS n FROM events GROUP BY user_id")
 def _(read, spark):
-    v = F.when(F.col("event_type") == "click", F.col("value"))
-    return read("events").groupBy("user_id").agg(F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.max(v), F.lit(0.0)).alias("high"), F.count(v).alias("n"))
+    return reports.proximity_reward(read("events"), ["user_id"], "value", F.col("event_type") == "click")
 
 
-@query("K8_representative", "SELECT c_nationkey AS doc, c_mktsegment AS decision, max_by(c_name, (c_custkey % 10, c_custkey)) AS fill FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1, 2")
+@query("K8_representative", "SELECT c_nationkey AS doc, c_mktsegment AS decision, max_by(c_name, (c_custkey % 10, c_custkey)) AS fill FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2")
 def _(read, spark):
-    """The coarsest entailing level of each decision."""
-    ok = read("customer").where("c_custkey % 4 <> 0")
-    return ok.groupBy(F.col("c_nationkey").alias("doc"), F.col("c_mktsegment").alias("decision")).agg(F.max_by("c_name", F.struct(F.col("c_custkey") % 10, "c_custkey")).alias("fill"))
+    """The coarsest entailing level of each decision; here levels entail where the balance is positive."""
+    c = read("customer").withColumnsRenamed({"c_nationkey": "doc", "c_mktsegment": "decision"}).withColumn("rank", F.col("c_custkey") % 10)
+    return compiler.latest_level(c, ["doc", "decision"], "c_name", ["rank", "c_custkey"], F.col("c_acctbal") > 0)
 
 
 @query("G5_curated_chain", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt' THEN 'fastener|hardware' ELSE '' END AS levels FROM part")
@@ -311,12 +342,11 @@ def _(read, spark):
 
 @query("G14_code_sections", "SELECT o_orderkey, CASE CAST(o_orderkey AS VARCHAR)[1] WHEN '1' THEN 'first|procedure' WHEN '2' THEN 'second|procedure' ELSE 'procedure' END AS levels FROM orders")
 def _(read, spark):
-    sections = F.create_map(F.lit("1"), F.lit("first"), F.lit("2"), F.lit("second"))
-    code = F.substring(F.col("o_orderkey").cast("string"), 1, 1)
-    return read("orders").select("o_orderkey", F.array_join(F.array_distinct(F.array_compact(F.array(sections[code], F.lit("procedure")))), "|").alias("levels"))
+    return read("orders").select("o_orderkey", F.array_join(producer.code_levels(F.col("o_orderkey").cast("string"), (1,), {"1": "first", "2": "second"}, "procedure"), "|").alias("levels"))
 
 
-@query("G10_ordered_levels", "SELECT p_partkey, p_type || '|part' AS levels FROM part")
+@query("G10_ordered_levels", "SELECT p_partkey, array_to_string(CASE WHEN p_size > 25 THEN [p_type, p_brand, 'part'] ELSE ['part', p_type, p_brand] END, '|') AS levels FROM part")
 def _(read, spark):
-    a = F.array(F.struct(F.lit(2).alias("i"), F.lit("part").alias("l")), F.struct(F.lit(1).alias("i"), F.col("p_type").alias("l")), F.struct(F.lit(3).alias("i"), F.lit("<PART>").alias("l")))
-    return read("part").select("p_partkey", F.array_join(F.transform(F.array_sort(F.filter(a, lambda x: ~x.l.startswith("<"))), lambda x: x.l), "|").alias("levels"))
+    a = lambda i, level: F.struct(F.lit(i).cast("int").alias("index") if isinstance(i, int) else i.cast("int").alias("index"), level.alias("level"))
+    actions = F.array(a(F.when(F.col("p_size") > 25, 9).otherwise(0), F.lit("part")), a(3, F.col("p_brand")), a(1, F.col("p_type")), a(2, F.lit("<PART>")))
+    return read("part").select("p_partkey", F.array_join(lattice.ordered_levels(actions), "|").alias("levels"))
\ No newline at end of file

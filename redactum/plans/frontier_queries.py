@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactum.operators import frontier as P
+from redactum.operators import reports
 from redactum.operators import stats as Q
 from redactum.plans.base import query
 
@@ -211,18 +212,17 @@ def _(read, spark):
     return Q.flat_share(read("lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], "l_quantity", "l_quantity")
 
 
-@query("Q14_missing_requests", "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id % 3 = 0 AND c.user_id = e.user_id AND c.event_type = e.event_type)")
+@query("Q14_missing_requests", "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events c WHERE c.value > 50 AND c.user_id = e.user_id AND c.event_type = e.event_type)")
 def _(read, spark):
     e = read("events")
-    return e.join(e.where("event_id % 3 = 0").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti").select("event_id")
+    return reports.missing(e, e.where("value > 50"), ["user_id", "event_type"]).select("event_id")
 
 
-@query("Q15_paired_refresh", "SELECT a.l_orderkey, avg(b.l_quantity - a.l_quantity) AS jitter FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linenumber % 2 = 1 GROUP BY a.l_orderkey")
+@query("Q15_paired_refresh", "SELECT a.l_orderkey, avg(b.l_quantity - a.l_quantity) AS difference FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linenumber % 2 = 1 GROUP BY a.l_orderkey")
 def _(read, spark):
     rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    base = rows.where("l_linenumber % 2 = 1").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("base"))
-    fresh = rows.where("l_linenumber % 2 = 0").select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_quantity").alias("fresh"))
-    return base.join(fresh, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(F.avg(F.col("fresh") - F.col("base")).alias("jitter"))
+    fresh = rows.where("l_linenumber % 2 = 0").withColumn("l_linenumber", F.col("l_linenumber") - 1)
+    return reports.paired_difference(rows.where("l_linenumber % 2 = 1"), fresh, ["l_orderkey", "l_linenumber"], "l_quantity", ["l_orderkey"])
 
 
 @query("Q18_choose_threshold", """
@@ -239,8 +239,5 @@ WITH r AS (SELECT user_id AS doc, event_type AS decision, abs(value) AS w, value
 SELECT r.doc, decision, coalesce(sum(w * v) FILTER (WHERE decision <> 'error') / nullif(sum(w) FILTER (WHERE decision <> 'error'), 0), max(whole)) AS credit FROM r JOIN t ON r.doc = t.doc GROUP BY r.doc, decision""")
 def _(read, spark):
     """Linked decisions take the mean of their own assertions, the others the document's."""
-    r = read("events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("decision"), F.abs("value").alias("w"), F.col("value").alias("v"))
-    whole = r.groupBy("doc").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("whole"))
-    linked = F.col("decision") != "error"
-    own = F.try_divide(F.sum(F.when(linked, F.col("w") * F.col("v"))), F.sum(F.when(linked, F.col("w"))))
-    return r.groupBy("doc", "decision").agg(own.alias("own")).join(whole, "doc").select("doc", "decision", F.coalesce("own", "whole").alias("credit"))
+    r = read("events").select(F.col("user_id").alias("doc"), F.col("event_type").alias("decision"), F.abs("value").alias("weight"), F.col("value").alias("score"), (F.col("event_type") != "error").alias("linked"))
+    return P.provisional_credit(r)
\ No newline at end of file

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from redactum.functions import text as T
 from redactum.operators import lattice as G
+from redactum.operators import producer
 from redactum.operators import profiles as H
 from redactum.plans.base import query
 
@@ -39,10 +40,12 @@ def _(read, spark):
     return read("lineitem").select("l_orderkey", "l_linenumber", G.bucket_quantity(F.concat(F.lit("$"), q.cast("string"), F.lit("k")))[0].alias("level"))
 
 
-@query("G3_containment_chain", "SELECT c_custkey, 'a customer in ' || n_name || '|a customer in ' || r_name AS levels FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("G3_containment_chain", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'a customer in ' || r_name ELSE 'a customer in ' || n_name || '|a customer in ' || r_name END AS levels FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(read, spark):
-    j = read("customer").join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select("c_custkey", F.array_join(F.transform(F.array("n_name", "r_name"), lambda x: F.concat(F.lit("a customer in "), x)), "|").alias("levels"))
+    """Units above a place, narrowest first; a unit named like the place (every fifth here) is none of its levels."""
+    j = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = j.withColumn("place", F.when(F.col("c_custkey") % 5 == 0, F.lower("n_name")).otherwise(F.col("c_name")))
+    return j.select("c_custkey", F.array_join(producer.place_levels(j, "a customer in", "place", "n_name", "r_name"), "|").alias("levels"))
 
 
 @query("G7_with_placeholder", "SELECT p_partkey, p_type || '|<PART>' AS levels FROM part")
@@ -79,25 +82,22 @@ def _(read, spark):
     return G.leaf_counts(_edges(read))
 
 
-@query("J1_geo_counts", "SELECT 'nation' AS grain, lower(n_name) AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2 UNION ALL SELECT 'region', lower(r_name), count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2 UNION ALL SELECT 'nations in region', lower(r_name), count(*) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 2")
+@query("J1_geo_counts", "SELECT 'n_name' AS grain, lower(n_name) AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2 UNION ALL SELECT 'r_name', lower(r_name), count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2 UNION ALL SELECT 'nations', lower(r_name), count(*) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 2")
 def _(read, spark):
-    nation, region = read("nation"), read("region")
-    places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
-    c = read("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    count = lambda df, grain, name: df.groupBy(F.lower(name).alias("name")).agg(F.count("*").alias("n")).select(F.lit(grain).alias("grain"), "name", "n")
-    return count(c, "nation", "n_name").unionByName(count(c, "region", "r_name")).unionByName(count(places, "nations in region", "r_name"))
+    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return producer.place_counts(customers, "n_name", "r_name").unionByName(producer.place_counts(places.withColumnRenamed("r_name", "nations"), "nations"))
 
 
-@query("J2_place_count", "WITH n AS (SELECT lower(n_name) AS k, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), r AS (SELECT lower(r_name) AS k, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT s_suppkey, CAST(coalesce(r.c, n.c, 1) AS DOUBLE) AS count FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN r ON r.k = CASE WHEN s_suppkey % 2 = 0 THEN lower(r_name) ELSE lower(n_name) END LEFT JOIN n ON n.k = CASE WHEN s_suppkey % 2 = 0 THEN lower(r_name) ELSE lower(n_name) END")
+@query("J2_place_count", "WITH c AS (SELECT lower(n_name) AS n, lower(r_name) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN (SELECT nullif(count(*), 0) FROM c WHERE c.r = lower(r_name)) WHEN 1 THEN (SELECT nullif(count(*), 0) FROM c WHERE c.n = lower(n_name)) END AS count FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(read, spark):
-    """'a customer in X' resolves to the region, else the nation, else 1."""
-    places = F.broadcast(read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")))
-    c = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    r = c.groupBy(F.lower("r_name").alias("k")).agg(F.count("*").alias("r"))
-    n = c.groupBy(F.lower("n_name").alias("k")).agg(F.count("*").alias("n"))
+    """'a customer in X' resolves to the region, else the nation; other fills have no count."""
+    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = producer.place_counts(read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")), "n_name", "r_name")
     s = read("supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
-    fill = s.select("s_suppkey", F.lower(F.when(F.col("s_suppkey") % 2 == 0, F.col("r_name")).otherwise(F.col("n_name"))).alias("k"))
-    return fill.join(F.broadcast(r), "k", "left").join(F.broadcast(n), "k", "left").select("s_suppkey", F.coalesce("r", "n", F.lit(1)).cast("double").alias("count"))
+    kind = F.col("s_suppkey") % 3
+    fill = F.when(kind == 0, F.concat(F.lit("A customer in "), F.upper("r_name"))).when(kind == 1, F.concat(F.lit(" a customer in "), "n_name")).otherwise(F.concat(F.lit("a place in "), "n_name"))
+    return producer.fill_count(s.select("s_suppkey", fill.alias("fill")), counts, "fill", "a customer in", ["r_name", "n_name"]).select("s_suppkey", "count")
 
 
 @query("J3_date_count", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 3652.0 ELSE 30.0 END AS count FROM orders")
@@ -219,9 +219,9 @@ def _(read, spark):
     return H.level_counts(rows)
 
 
-@query("H14_unambiguous", "SELECT p_name, min(p_brand) AS p_brand FROM part WHERE p_size = 7 GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@query("H14_unambiguous", "SELECT name, min(p_brand) AS p_brand FROM (SELECT p_name || ' ' || p_size || p_type AS name, p_brand FROM part) GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def _(read, spark):
-    return H.unambiguous(read("part").where("p_size = 7"), "p_name", "p_brand")
+    return H.unambiguous(read("part").select(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), "p_type").alias("name"), "p_brand"), "name", "p_brand")
 
 
 @query("H9_best_label", "SELECT p_name AS surface, p_brand AS type, p_retailprice AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_brand) AS r FROM part) WHERE r = 1")
@@ -239,10 +239,11 @@ def _(read, spark):
     return H.prefix_members(read("orders").select(F.col("o_orderkey").cast("string").alias("code")), "code", (1, 3, 4))
 
 
-@query("H17_missing_profiles", "SELECT DISTINCT p_name FROM part WHERE p_size > 40 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size < 3)")
+@query("H17_missing_profiles", "SELECT DISTINCT p_name || ' ' || p_size AS p_name FROM part WHERE lower(p_name || ' ' || p_size) NOT IN (SELECT lower(p_name) || ' ' || p_size FROM part WHERE p_type = 'SMALL')")
 def _(read, spark):
-    p = read("part")
-    return p.where("p_size > 40").select("p_name").distinct().join(p.where("p_size < 3").select("p_name").distinct(), "p_name", "left_anti")
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("p_name")
+    known = read("part").where("p_type = 'SMALL'").select(F.upper(F.concat(F.lit(" "), "p_name", F.lit("  "), F.col("p_size").cast("string"))).alias("p_name"))
+    return producer.without_profile(read("part").select(name), known, "p_name")
 
 
 _SIDE = "SELECT p_brand AS type, p_type AS canonical, list_sort(list(DISTINCT p_name)) AS aliases, max(p_size) AS count FROM part WHERE p_size {} GROUP BY 1, 2"

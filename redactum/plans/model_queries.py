@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactum.functions import text as T
 from redactum.operators import models as M
-from redactum.operators import patterns, spans
+from redactum.operators import patterns, producer, reports, spans
 from redactum.plans.base import query
 from redactum.plans.span_queries import with_resolved
 
@@ -82,15 +82,17 @@ def _(read, spark):
     return spans.resolve(found.unionByName(model)).select("doc_id", "start", "end", "type")
 
 
-@query("D6_first_wins", "SELECT c_nationkey, lower(c_mktsegment) AS surface, min(c_custkey) AS first FROM customer GROUP BY 1, 2")
+@query("D6_first_wins", "SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey FROM customer GROUP BY 1, 2")
 def _(read, spark):
-    return read("customer").groupBy("c_nationkey", F.lower("c_mktsegment").alias("surface")).agg(F.min("c_custkey").alias("first"))
+    """The first of equal surfaces of a document, without regard to case, stays as it is written."""
+    c = read("customer").select("c_nationkey", "c_mktsegment", "c_custkey")
+    return reports.first_mention(c, ["c_nationkey"], "c_mktsegment", "c_custkey")
 
 
 @query("M13_corpus_metric", "SELECT lang, CASE WHEN count(*) >= 110 THEN avg(n_chars) END AS metric FROM documents GROUP BY lang")
 def _(read, spark):
     """A corpus metric is null below its least number of rows."""
-    return read("documents").groupBy("lang").agg(F.when(F.count("*") >= 110, F.avg("n_chars")).alias("metric"))
+    return reports.metric_with_support(read("documents"), "lang", F.avg("n_chars"), 110)
 
 
 @query("I10_fill_proximity", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS proximity FROM part")
@@ -99,22 +101,21 @@ def _(read, spark):
     return read("part").select("p_partkey", F.round(M.similarity(other, F.col("p_name")), 6).alias("proximity"))
 
 
-@query("S10_window_budget", "SELECT source, count(*) AS kept, quantile_disc(n, 0.99) AS p99 FROM (SELECT source, len(regexp_extract_all(lower(text), '[a-z]+')) AS n FROM documents) WHERE n <= 800 GROUP BY source")
+@query("S10_window_budget", "SELECT source, count(*) AS kept, quantile_disc(n, 0.99) AS quantile FROM (SELECT source, len(regexp_extract_all(lower(text), '[a-z]+')) AS n FROM documents) WHERE n <= 800 GROUP BY source")
 def _(read, spark):
     n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).cast("long")
-    rows = read("documents").select("source", n.alias("n")).where("n <= 800")
-    return rows.groupBy("source").agg(F.count("*").alias("kept"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY n)").cast("long").alias("p99"))
+    return reports.within_budget(read("documents").select("source", n.alias("n")), "source", "n", 800).withColumn("quantile", F.col("quantile").cast("long"))
 
 
-@query("R9_context_packets", "SELECT conv_id, count(*) AS turns, CAST(sum(len(text)) AS BIGINT) AS chars FROM conversations WHERE turn <= 3 GROUP BY conv_id")
+@query("R9_context_packets", "SELECT conv_id, count(*) AS contexts, string_agg(r || ': ' || c, chr(10) ORDER BY r) AS packet FROM (SELECT conv_id, c, row_number() OVER (PARTITION BY conv_id ORDER BY a, c) AS r FROM (SELECT conv_id, text[:40] AS c, min(turn) AS a FROM conversations GROUP BY 1, 2)) WHERE r <= 4 GROUP BY conv_id")
 def _(read, spark):
-    return read("conversations").where("turn <= 3").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
+    """The first four different contexts of each conversation in one prompt."""
+    return producer.context_packets(read("conversations"), "conv_id", "turn", "text", most=4, chars=40)
 
 
-@query("O32_task_list", "SELECT doc_id, unnest(['summary', 'answer']) AS task, unnest([n_chars, n_chars + 1]) AS size FROM documents")
+@query("O32_task_list", "SELECT doc_id, unnest(['summary', 'answer']) AS task, unnest(['Summarize: ' || source, 'Answer about ' || source || '.']) AS prompt FROM documents")
 def _(read, spark):
-    tasks = F.array(F.struct(F.lit("summary").alias("task"), F.col("n_chars").alias("size")), F.struct(F.lit("answer").alias("task"), (F.col("n_chars") + 1).alias("size")))
-    return read("documents").select("doc_id", F.explode(tasks).alias("x")).select("doc_id", "x.*")
+    return reports.tasks(read("documents"), "doc_id", {"summary": "Summarize: {doc}", "answer": "Answer about {doc}."}, F.col("source"))
 
 
 @query("B2_canonical_attackers", "SELECT item_id, trim(regexp_replace(replace(lower(text), '-year-old', ' years old'), '[^a-z0-9_<>]+', ' ', 'g')) AS canon FROM benchmark")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from redactum.operators import curation, lattice, models, qa, segment
+from redactum.operators import compiler, curation, lattice, models, profiles, qa, reports, segment
 from redactum.plans.base import query
 from redactum.plans.lattice_queries import ANCESTORS, _edges
 from redactum.plans.span_queries import _spans, with_spans
@@ -24,29 +24,86 @@ def _asked(name: str, doc: str, table: str, key: str, prompt, sql: str) -> None:
     query(name, f"SELECT {key}, len(string_split({sql}, ' ')) AS answer FROM {table}")(run)
 
 
-_asked("I6_rerank", "Relevance of a passage to a question.", "part", "p_partkey", lambda: F.concat(F.lit("is it red ? "), F.col("p_name")), "'is it red ? ' || p_name")
-_asked("I9_semantic_scores", "Similarity of a fill to its original.", "part", "p_partkey", lambda: F.concat(F.col("p_name"), F.lit(" | "), "p_type"), "p_name || ' | ' || p_type")
-_asked("M6_reconstruct", "Masked recovery of a redacted text.", "part", "p_partkey", lambda: F.concat(F.lit("<PART_1> of "), "p_brand"), "'<PART_1> of ' || p_brand")
-_asked("M11_reranked_utility", "Relevance of an answer to its task.", "customer", "c_custkey", lambda: F.concat(F.lit("task "), "c_mktsegment"), "'task ' || c_mktsegment")
-_asked("O10_context_reader", "A reader's answer to a question in its context.", "part", "p_partkey", lambda: F.concat(F.lit("what is the "), F.col("p_name"), F.lit(" made of")), "'what is the ' || p_name || ' made of'")
-_asked("O29_relation_judge", "Judgement of a proposed relation.", "part", "p_partkey", lambda: F.concat(F.col("p_name"), F.lit(" treats "), "p_type"), "p_name || ' treats ' || p_type")
-_asked("O30_relation_teacher", "Proposals for a document.", "benchmark", "item_id", lambda: F.concat(F.lit("item "), F.col("item_id").cast("string")), "'item ' || item_id")
-_asked("S3_pair_relations", "Entailment of a pair of levels.", "part", "p_partkey", lambda: F.concat(F.col("p_type"), F.lit(" => "), "p_brand"), "p_type || ' => ' || p_brand")
-_asked("G8_teacher_levels", "Levels proposed for a surface.", "part", "p_partkey", lambda: F.concat(F.lit("broader than "), F.col("p_name")), "'broader than ' || p_name")
+_asked("M_cached_answers", "Distinct prompts are answered once.", "part", "p_partkey", lambda: F.concat(F.lit("is it red ? "), F.col("p_name")), "'is it red ? ' || p_name")
 
 
-@query("P22_counterfactuals", "SELECT l_orderkey, l_linenumber, len(l_returnflag || l_linestatus) AS answer FROM lineitem")
+@query("I6_rerank", "SELECT p_type, p_name, CAST(len(p_type) + len(p_name) AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY p_type ORDER BY len(p_name) DESC, p_name) AS INTEGER) AS rank FROM (SELECT DISTINCT p_type, p_name FROM part) QUALIFY rank <= 3")
 def _(read, spark):
-    """Each distinct action vector is measured once and its result given to all that share it."""
-    rows = read("lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("vector"))
-    out, _ = models.answers(rows, ["vector"], lambda v: v.str.len().astype("int64"), "long")
-    return out.select("l_orderkey", "l_linenumber", "answer")
+    """The most relevant passages of each question."""
+    return models.top_passages(read("part"), "p_type", "p_name", models.length_score, 3)
 
 
-@query("H7_vector_index", "SELECT vec_id, len(embedding) AS size, label FROM embeddings")
+@query("I9_semantic_scores", "SELECT p_brand, avg(least(1.0, (len(p_name) + len(p_type)) / 15.0)) AS similarity FROM part GROUP BY p_brand")
 def _(read, spark):
-    """Rows of a vector index; the index is keyed by a hash of its profile rows."""
-    return read("embeddings").select("vec_id", F.size("embedding").cast("long").alias("size"), "label")
+    """Similarity of fills to their originals."""
+    return models.mean_similarity(read("part"), ["p_brand"], "p_name", "p_type", models.length_score, scale=15.0)
+
+
+@query("M6_reconstruct", "SELECT p_brand, count(*) AS n, avg(CASE WHEN split_part(p_name, ' ', 2) = 'box' OR p_size % 4 = 0 THEN 1.0 ELSE 0 END) AS recovered FROM part GROUP BY p_brand")
+def _(read, spark):
+    """Masked recovery of a redacted word: the stand-in says the prompt's last word."""
+    original = F.split_part("p_name", F.lit(" "), F.lit(2))
+    rows = read("part").select("p_brand", original.alias("original"), F.concat(F.lit("a <PART_1> like a "), F.when(F.col("p_size") % 4 == 0, F.upper(original)).otherwise("box")).alias("prompt"))
+    return models.recovery(rows, ["p_brand"], "original", "prompt", models.last_word)
+
+
+@query("M11_reranked_utility", "SELECT c_mktsegment, avg(len(c_name) - c_custkey % 3) AS utility, avg(len(c_name) - c_custkey % 3) / avg(len(c_name)) AS control FROM customer GROUP BY 1")
+def _(read, spark):
+    """Relevance of private answers against plain ones."""
+    rows = read("customer").select("c_mktsegment", "c_name", F.expr("substring(c_name, 1, int(length(c_name) - c_custkey % 3))").alias("private"))
+    return models.utility_ratio(rows, ["c_mktsegment"], "c_name", "private", models.length_score)
+
+
+@query("O10_context_reader", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 OR split_part(p_name, ' ', 2) = 'box' THEN 1.0 ELSE 0.0 END AS score FROM part")
+def _(read, spark):
+    """A reader's answer to a question in its context."""
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    context = F.concat(F.lit("it is made by "), "p_brand", F.lit(" as a "), F.when(F.col("p_size") % 2 == 0, noun).otherwise("box"))
+    rows = read("part").select("p_partkey", F.lit("what is it ?").alias("question"), context.alias("context"), F.array(noun).alias("accepted"))
+    return models.read_answers(rows, "question", "context", "accepted", models.last_word).select("p_partkey", "score")
+
+
+@query("O29_relation_judge", "SELECT p_partkey, CASE WHEN len(p_name) + len(p_type) >= 14 THEN 'accepted' WHEN len(p_name) + len(p_type) >= 12 THEN 'review' ELSE 'rejected' END AS verdict FROM part")
+def _(read, spark):
+    """Judgement of a proposed relation by its score."""
+    return models.verdicts(read("part").select("p_partkey", "p_name", "p_type"), ["p_name", "p_type"], models.length_score, 14, 12).select("p_partkey", "verdict")
+
+
+@query("O30_relation_teacher", "SELECT item_id, min(i) AS position, lower(trim(w)) AS level FROM (SELECT item_id, unnest(l) AS w, unnest(range(0, len(l))) AS i FROM (SELECT item_id, string_split(text, ' ') AS l FROM benchmark)) WHERE trim(w) <> '' AND lower(trim(w)) NOT IN ('the', 'and') GROUP BY 1, 3")
+def _(read, spark):
+    """Proposals for a document, parsed from the teacher's reply, without what is known."""
+    rows = read("benchmark").select("item_id", "text")
+    return models.proposed_levels(rows, "item_id", "text", models.words_as_levels, F.lower("level").isin("the", "and")).withColumn("position", F.col("position").cast("long"))
+
+
+@query("S3_pair_relations", "WITH l AS (SELECT p_partkey, p_name AS a, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN p_name || ' ' || p_brand ELSE p_type END AS b FROM part), e AS (SELECT p_partkey, len(list_filter(list_distinct(string_split(lower(b), ' ')), lambda w: NOT list_contains(string_split(lower(a), ' '), w))) = 0 AS f, len(list_filter(list_distinct(string_split(lower(a), ' ')), lambda w: NOT list_contains(string_split(lower(b), ' '), w))) = 0 AS g FROM l) SELECT p_partkey, CASE WHEN f AND g THEN 'equal' WHEN f THEN 'narrower' WHEN g THEN 'broader' ELSE 'none' END AS relation FROM e")
+def _(read, spark):
+    """Entailment of a pair of levels in both directions."""
+    size = F.col("p_size") % 4
+    b = F.when(size == 0, F.col("p_name")).when(size == 1, F.split_part("p_name", F.lit(" "), F.lit(2))).when(size == 2, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.col("p_type"))
+    rows = read("part").select("p_partkey", F.col("p_name").alias("a"), b.alias("b"))
+    return models.pair_relations(rows, "a", "b", models.shared_words, 0.999).select("p_partkey", "relation")
+
+
+@query("G8_teacher_levels", "SELECT p_partkey, min(i) AS position, lower(w) AS level FROM (SELECT p_partkey, unnest(l) AS w, unnest(range(0, len(l))) AS i FROM (SELECT p_partkey, string_split(p_type || ' <PART_1> ' || p_name || ' ' || p_type, ' ') AS l FROM part)) WHERE w <> '<PART_1>' GROUP BY 1, 3")
+def _(read, spark):
+    """Levels proposed for a surface; placeholders and repeated ones go."""
+    rows = read("part").select("p_partkey", F.concat_ws(" ", "p_type", F.lit("<PART_1>"), "p_name", "p_type").alias("prompt"))
+    return models.proposed_levels(rows, "p_partkey", "prompt", models.words_as_levels).withColumn("position", F.col("position").cast("long"))
+
+
+@query("P22_counterfactuals", "WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_shipdate || l_quantity AS x, len(p_name) AS y, l_returnflag = 'A' AS base, p_name FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT l_orderkey, arg_min(y, p_name) AS b FROM v WHERE base GROUP BY 1) SELECT v.l_orderkey, l_linenumber, p_name, CAST(y - b AS DOUBLE) AS effect FROM v LEFT JOIN b ON v.l_orderkey = b.l_orderkey")
+def _(read, spark):
+    """Each distinct action vector is measured once; its effect is against the document's base vector."""
+    rows = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "l_returnflag")
+    return models.counterfactual_effects(rows, "l_orderkey", "p_name", F.col("l_returnflag") == "A", models.length_score).select("l_orderkey", "l_linenumber", "p_name", "effect")
+
+
+@query("H7_vector_index", "SELECT vec_id, len(embedding) AS size, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm, 1.0 AS unit FROM embeddings")
+def _(read, spark):
+    """Unit vectors with their norms and fingerprints."""
+    v = profiles.vector_index(read("embeddings"), "vec_id", "embedding")
+    return v.select("vec_id", F.size("v").cast("long").alias("size"), "norm", profiles.dot(F.col("v"), F.col("v")).alias("unit"))
 
 
 @query("G4_hypernym_chain", ANCESTORS + " SELECT node, count(DISTINCT ancestor) AS broader FROM a WHERE hops <= 3 AND ancestor <> 'world' GROUP BY node")
@@ -55,12 +112,13 @@ def _(read, spark):
     return lattice.ancestors(_edges(read), 3).where("ancestor <> 'world'").groupBy("node").agg(F.countDistinct("ancestor").alias("broader"))
 
 
-@query("D5_role_phrases", "SELECT p_partkey, p_size % 2 = 0 OR p_type = 'SMALL' AS role FROM part")
+@query("D5_role_phrases", "WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'The ' || p_name WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN p_name ELSE ' their ' || p_type END AS phrase FROM part) SELECT p_partkey, regexp_matches(lower(trim(phrase)), '^(the|a|an|this|that|my|his|her|their)\\b') OR lower(trim(phrase)) IN (SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_size < 3) AS role FROM t")
 def _(read, spark):
-    """An article in front, or one word from a table of nouns."""
-    phrase = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("the "), "p_name")).otherwise(F.lower("p_type"))
-    nouns = F.broadcast(spark.createDataFrame([("small",)], "noun string"))
-    return read("part").withColumn("phrase", phrase).join(nouns, F.col("phrase") == F.col("noun"), "left").select("p_partkey", (F.col("phrase").rlike("^(a|an|the) ") | F.col("noun").isNotNull()).alias("role"))
+    """An article or possessive in front, or one word from a table of nouns."""
+    size, noun = F.col("p_size") % 4, F.split_part("p_name", F.lit(" "), F.lit(2))
+    phrase = F.when(size == 0, F.concat(F.lit("The "), "p_name")).when(size == 1, noun).when(size == 2, F.col("p_name")).otherwise(F.concat(F.lit(" their "), "p_type"))
+    nouns = read("part").where("p_size < 3").select(noun.alias("noun"))
+    return compiler.role_phrases(read("part").select("p_partkey", phrase.alias("phrase")), "phrase", nouns).select("p_partkey", "role")
 
 
 @query("D7_detected_batches", with_spans("SELECT recognizer, count(DISTINCT doc_id) AS documents, count(*) AS n FROM s GROUP BY recognizer"))
@@ -68,31 +126,36 @@ def _(read, spark):
     return _spans(read).groupBy("recognizer").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("n"))
 
 
-@query("D11_cue_support", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'cue' ELSE 'judge' END AS support FROM part")
+@query("D11_cue_support", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND regexp_matches(lower(q), '\\b(prescribed|started on|hot)\\b') THEN 'cue' WHEN p_size % 2 = 1 AND regexp_matches(lower(q), '\\b(causes|due to|red)\\b') THEN 'cue' ELSE 'judge' END AS support FROM (SELECT *, ['Prescribed ', 'it is due to ', 'likes '][p_partkey % 3 + 1] || p_name AS q FROM part)")
 def _(read, spark):
-    """A lexical cue decides; only the rest would go to the judge."""
-    quote = F.concat(F.when(F.col("p_size") % 2 == 0, "prescribed ").otherwise("likes "), "p_name")
-    return read("part").select("p_partkey", F.when(quote.rlike(r"\b(prescribed|ordered)\b"), "cue").otherwise("judge").alias("support"))
+    """A lexical cue of the relation decides; only the rest would go to the judge."""
+    said = F.element_at(F.array(F.lit("Prescribed "), F.lit("it is due to "), F.lit("likes ")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    relation = F.when(F.col("p_size") % 2 == 0, "treats").otherwise("causes")
+    cues = {"treats": ["prescribed", "started on", "hot"], "causes": ["causes", "due to", "red"]}
+    return read("part").select("p_partkey", compiler.cue_support(F.concat(said, "p_name"), relation, cues).alias("support"))
 
 
-@query("A14_ontology_stanzas", "SELECT 'N:' || n_nationkey AS id, n_name AS name, 'R:' || n_regionkey AS parent FROM nation")
+@query("A14_ontology_stanzas", "SELECT 'N:' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN lower(r_name) || '|world' ELSE lower(r_name) || '|world' END AS levels FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'R:' || r_regionkey, r_name, 'world' FROM region")
 def _(read, spark):
-    """Stanzas of an ontology file, here written from the nation table."""
-    value = F.format_string('Term]\nid: N:%d\nname: %s\nsynonym: "x" EXACT []\nis_a: R:%d ! region\n', "n_nationkey", "n_name", "n_regionkey")
-    s = readers.stanza_fields(read("nation").select(value.alias("value")))
-    return s.select("id", "name", F.col("parents")[0].alias("parent"))
+    """Stanzas of an ontology file, here written from the nation and region tables; levels are the families above."""
+    stanza = lambda kind, key, name, up: F.format_string('Term]\nid: ' + kind + ':%d\nname: %s\nsynonym: "x" EXACT []\nis_a: ' + up + ' ! above\n', key, name)
+    n = read("nation").select(F.replace(stanza("N", "n_nationkey", "n_name", "R:#"), F.lit("#"), F.col("n_regionkey").cast("string")).alias("value"))
+    regions = read("region")
+    r = regions.select(stanza("R", "r_regionkey", "r_name", "W:0").alias("value"))
+    roots = {"W:0": "world"} | {f"R:{x.r_regionkey}": x.r_name.lower() for x in regions.collect()}  # the region table has a fixed size
+    return readers.term_levels(readers.stanza_fields(n.unionByName(r)), roots).withColumn("levels", F.array_join("levels", "|"))
 
 
 @query("A18_nested_json", "SELECT n_nationkey AS code, n_name AS name FROM nation")
 def _(read, spark):
-    """A territory file: nested objects keyed by code."""
-    whole = read("nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name")))).alias("j"))
-    return whole.select(F.explode(F.from_json("j", "map<string,string>")).alias("code", "name")).select(F.col("code").cast("int").alias("code"), "name")
+    """A territory file: an object keyed by code (here one for each region)."""
+    whole = read("nation").groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name")))).alias("value"))
+    return readers.territories(whole).select(F.col("code").cast("int").alias("code"), "name")
 
 
 @query("B25_relation_clauses", "SELECT p_partkey, 'the ' || p_name || ' that the ' || p_type || ' is for' AS clause FROM part")
 def _(read, spark):
-    return read("part").select("p_partkey", F.format_string("the %s that the %s is for", "p_name", "p_type").alias("clause"))
+    return read("part").select("p_partkey", compiler.clause_text("the %s that the %s is for", F.concat("p_name", F.lit(" ")), F.col("p_type")).alias("clause"))
 
 
 @query("C6_turn_clauses", r"SELECT conv_id, turn, count(*) AS clauses FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$')) AS x FROM conversations) GROUP BY conv_id, turn")
@@ -102,17 +165,18 @@ def _(read, spark):
     return segment.clauses(t, key="k").groupBy("k").agg(F.count("*").alias("clauses")).select("k.conv_id", "k.turn", "clauses")
 
 
-@query("D14_candidates", "SELECT l_orderkey, l_linenumber, p_name, n FROM (SELECT l_orderkey, l_linenumber, p_name, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n >= 2")
+@query("D14_candidates", "SELECT l_orderkey, l_linenumber, p_name, n FROM (SELECT l_orderkey, l_linenumber, p_name, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n >= 3")
 def _(read, spark):
-    """Decisions joined to parsed rows, kept where a document has two or more."""
-    j = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.select("l_orderkey", "l_linenumber", "p_name", F.count("*").over(Window.partitionBy("l_orderkey")).alias("n")).where("n >= 2")
+    """Decisions joined to parsed rows, kept where a document has three or more."""
+    facts = read("part").withColumnRenamed("p_partkey", "l_partkey")
+    return compiler.delivered_candidates(read("lineitem"), facts, "l_partkey", by="l_orderkey", least=3).select("l_orderkey", "l_linenumber", "p_name", "n")
 
 
-@query("M14_output_containment", "SELECT p_partkey, 1.0 AS recall FROM part WHERE p_size = 12")
+@query("M14_output_containment")
 def _(read, spark):
-    p = read("part").where("p_size = 12")
-    return p.select("p_partkey", curation.containment_column(F.col("p_name"), F.concat(F.lit("it says "), F.upper("p_name"))).alias("recall"))
+    """Share of a brand's names that the output still holds; a fuzzy ratio has no SQL, tests hold it to brute force."""
+    output = F.concat(F.lit("it says "), F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2))))
+    return curation.containment_recall(read("part").select("p_brand", F.col("p_name").alias("surface"), output.alias("text")), ["p_brand"])
 
 
 @query("I8_candidate_windows")
@@ -145,7 +209,9 @@ def _(read, spark):
     return losses.agg(F.sum("collisions").cast("double").alias("observed")).select(F.lit("collisions").alias("check"), "observed").unionByName(flat.select(F.lit("flat").alias("check"), "observed"))
 
 
-@query("Q16_paired_improvements", "SELECT l_suppkey, avg(l_tax) - avg(l_discount) AS improvement FROM lineitem GROUP BY 1")
+@query("Q16_paired_improvements", "SELECT l_suppkey, avg(t - d) AS difference FROM (SELECT l_suppkey, l_linenumber, l_returnflag, avg(l_tax) AS t, avg(l_discount) AS d FROM lineitem GROUP BY ALL) GROUP BY 1")
 def _(read, spark):
-    return read("lineitem").groupBy("l_suppkey").agg((F.avg("l_tax") - F.avg("l_discount")).alias("improvement"))
-
+    """Paired by profile, seed and fold."""
+    by = ["l_suppkey", "l_linenumber", "l_returnflag"]
+    arm = lambda c: read("lineitem").groupBy(*by).agg(F.avg(c).alias("v"))
+    return reports.paired_difference(arm("l_discount"), arm("l_tax"), by, "v", ["l_suppkey"])
\ No newline at end of file

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactum.functions import text as T
-from redactum.operators import components, qa, segment
+from redactum.operators import components, producer, qa, reports, segment
 from redactum.plans.base import query
 from redactum.sources import readers
 from redactum.streaming import incremental
@@ -156,7 +156,7 @@ def _(read, spark):
 
 @query("N7_domain_summary", "SELECT source, count(*) AS n, avg(n_chars) AS mean FROM documents GROUP BY source")
 def _(read, spark):
-    return read("documents").groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"))
+    return reports.summary(read("documents"), ["source"], mean=F.col("n_chars"))
 
 
 @query("N5_bootstrap_interval")
@@ -222,49 +222,56 @@ def _(read, spark):
 
 @query("S7_surfaces_by_type", "SELECT p_brand, string_agg(DISTINCT p_name, ';' ORDER BY p_name) AS surfaces, count(DISTINCT p_name) < 40 AS thin FROM part GROUP BY p_brand")
 def _(read, spark):
-    s = F.array_sort(F.collect_set("p_name"))
-    return read("part").groupBy("p_brand").agg(s.alias("s")).select("p_brand", F.array_join("s", ";").alias("surfaces"), (F.size("s") < 40).alias("thin"))
+    return reports.pools(read("part"), "p_brand", "p_name", 40).withColumn("surfaces", F.array_join("surfaces", ";"))
 
 
-@query("S8_balance_rare", "SELECT event_type, count(*) * CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS n FROM events GROUP BY event_type")
+@query("S8_balance_rare", "SELECT event_type, count(*) + count(*) FILTER (WHERE event_type = 'purchase' OR value > 90) AS n FROM events GROUP BY event_type")
 def _(read, spark):
-    """Rows of a rare label stand twice, no more."""
-    e = read("events").select("event_type")
-    return e.unionByName(e.where("event_type = 'purchase'")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Rows with a rare label stand twice, no more."""
+    return reports.balanced(read("events"), (F.col("event_type") == "purchase") | (F.col("value") > 90)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("S9_shares", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, sum(n_chars) / (SELECT sum(n_chars) FROM documents) AS share FROM documents GROUP BY lang")
+@query("S9_shares", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, sum(n_chars) / (SELECT sum(n_chars) FROM documents) AS share FROM documents GROUP BY lang")
 def _(read, spark):
-    d = read("documents")
-    total = d.agg(F.sum("n_chars").alias("t"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).crossJoin(F.broadcast(total)).select("lang", "n", "chars", (F.col("chars") / F.col("t")).alias("share"))
+    return reports.shares(read("documents"), "lang", "n_chars")
 
 
-@query("S5_last_mention", "SELECT c_nationkey, lower(c_mktsegment) AS surface, max(c_custkey) AS last FROM customer GROUP BY ALL")
+@query("S5_last_mention", "SELECT c_nationkey, c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, lower(c_mktsegment) ORDER BY c_custkey DESC) AS r FROM customer) WHERE r = 1")
 def _(read, spark):
-    return read("customer").groupBy("c_nationkey", F.lower("c_mktsegment").alias("surface")).agg(F.max("c_custkey").alias("last"))
+    c = read("customer").select("c_nationkey", "c_mktsegment", "c_custkey")
+    return reports.last_mention(c, ["c_nationkey"], "c_mktsegment", "c_custkey")
 
 
-@query("R2_category_coverage", "SELECT p_brand AS label, count(*) AS n, count(*) < 80 AS needed FROM part GROUP BY p_brand")
+@query("R2_category_coverage", "SELECT b.p_brand, count(p.p_partkey) AS n, count(p.p_partkey) < 60 AS needed FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_size > 12 AND b.p_brand NOT LIKE '%1' GROUP BY b.p_brand")
 def _(read, spark):
-    return read("part").groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("n")).withColumn("needed", F.col("n") < 80)
+    """Every registered label, those without rows too."""
+    rows = read("part").where("p_size > 12 AND p_brand NOT LIKE '%1'")
+    return producer.category_coverage(read("part"), rows, "p_brand", 60)
 
 
-@query("R5_chain_sufficient", "SELECT p_brand, count(DISTINCT p_type) >= 2 AND max(n) >= 20 AS sufficient FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
+@query("R5_chain_sufficient", "SELECT p_brand, count(*) >= 2 AND max(n) >= 20 AS sufficient FROM (SELECT p_brand, p_type, count(DISTINCT p_name) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
 def _(read, spark):
-    n = read("part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    return n.groupBy("p_brand").agg(((F.count("*") >= 2) & (F.max("n") >= 20)).alias("sufficient"))
+    return producer.chain_sufficient(read("part"), "p_brand", "p_type", "p_name", least=2, floor=20)
 
 
-@query("R8_parse_candidates", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("R8_parse_candidates", """SELECT event_id, position, level, count, source_family FROM (SELECT event_id, 0 AS position, 'k ' || json_extract_string(props, '$.k') AS level, value AS count, CASE WHEN event_type = 'view' THEN 'book' ELSE 'model-proposed' END AS source_family FROM events WHERE event_type <> 'click'
+UNION ALL SELECT event_id, 2, event_type, NULL, 'model-proposed' FROM events WHERE event_type = 'click')""")
 def _(read, spark):
-    return read("events").select("event_id", F.from_json("props", "k long").k.alias("k"))
+    """Replies with candidates, with plain levels of which one is blank, and one that is no JSON."""
+    level = F.concat(F.lit("k "), F.get_json_object("props", "$.k"))
+    source = F.when(F.col("event_type") == "view", "book")
+    full = F.to_json(F.struct(F.array(F.struct(F.concat(level, F.lit(" ")).alias("level"), F.col("value").alias("count"), source.alias("source_family"))).alias("candidates")))
+    plain = F.to_json(F.struct(F.array(F.lit(" "), F.lit(""), F.col("event_type")).alias("candidate_levels")))
+    reply = F.when(F.col("event_type") == "click", plain).otherwise(full)
+    rows = read("events").select("event_id", reply.alias("reply"))
+    broken = rows.select("event_id", F.lit("no json").alias("reply"))
+    return producer.parse_candidates(rows.unionByName(broken), "reply", "event_id").select("event_id", "position", "level", "count", "source_family")
 
 
-@query("R18_entity_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 49), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM g UNION SELECT g.b, r.root FROM r JOIN g ON r.node = g.a) SELECT node, min(root) AS root FROM r GROUP BY node")
+@query("R18_entity_components")
 def _(read, spark):
-    e = read("lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"))
-    return components.labelled(e)
+    """Entities of all lines; recursive SQL is too slow on the whole table, a test holds it to brute force."""
+    return components.labelled(read("lineitem").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")))
 
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL")

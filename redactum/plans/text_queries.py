@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactum.functions import text as T
+from redactum.operators import producer
 from redactum.plans.base import query
 
 DOCS = "SELECT doc_id, {} AS {} FROM documents"
@@ -108,17 +109,16 @@ def _case(read, spark):
     return read("part").select("p_partkey", T.case_adjust(F.col("p_name"), before).alias("fill"))
 
 
-@query("B22_fill_key", "SELECT p_partkey, lower(p_name) AS key FROM part")
+@query("B22_fill_key", "SELECT p_partkey, lower(p_name || ' ' || p_type) AS key FROM part")
 def _fill_key(read, spark):
-    return read("part").select("p_partkey", F.lower("p_name").alias("key"))
+    return read("part").select("p_partkey", T.fill_key(F.concat_ws(" ", "p_name", "p_type")).alias("key"))
 
 
 @query("B31_type_rollup", """
-SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 1) IN ('ECONOMY', 'PROMO') THEN 'DEM' ELSE split_part(p_type, ' ', 1) END AS coarse FROM part""")
+SELECT p_partkey, CASE WHEN split_part(p_type, ' ', 1) IN ('ECONOMY', 'PROMO') THEN 'DEM' WHEN split_part(p_type, ' ', 1) = 'SMALL' THEN 'MISC' ELSE split_part(p_type, ' ', 1) END AS coarse FROM part""")
 def _rollup(read, spark):
-    roll = F.create_map(F.lit("ECONOMY"), F.lit("DEM"), F.lit("PROMO"), F.lit("DEM"))
     t = F.split_part("p_type", F.lit(" "), F.lit(1))
-    return read("part").select("p_partkey", F.coalesce(roll[t], t).alias("coarse"))
+    return read("part").select("p_partkey", producer.looked_up(t, {"ECONOMY": "DEM", "PROMO": "DEM", "SMALL": "MISC"}, t).alias("coarse"))
 
 
 _JACC = "CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END"

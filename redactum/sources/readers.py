@@ -14,12 +14,48 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def interleave(parts: list[DataFrame], order: str) -> DataFrame:
-    """Round robin over the tables: first rows of each, then the second ones, ... as column `position`."""
+    """Round robin over the tables: first rows of each, then the second ones, ... as column `position`.
+
+    A row's place within its table is the count of smaller rows, found in buckets of the order's quantiles; its position
+    follows from it and the sizes of the other tables, so no table passes through one task.
+    """
+    sizes = [part.count() for part in parts]
     out = None
     for i, part in enumerate(parts):
-        ranked = part.withColumn("_row", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_part", F.lit(i))
+        ranked = _places(part, order, sizes[i]).withColumnRenamed("position", "_row")
+        ahead = F.lit(0).cast("long")
+        for j, n in enumerate(sizes):
+            if j != i:  # rows of other tables that stand before: all earlier rounds, and this one for tables before
+                ahead = ahead + F.least(F.col("_row") + (1 if j < i else 0), F.lit(n))
+        ranked = ranked.withColumn("position", F.col("_row") + ahead).drop("_row")
         out = ranked if out is None else out.unionByName(ranked)
-    return out.withColumn("position", F.row_number().over(Window.orderBy("_row", "_part")) - 1).drop("_row", "_part")
+    return out
+
+
+def _places(rows: DataFrame, order: str, n: int, least: int = 100_000) -> DataFrame:
+    """rows with position in the order; large tables are ranked in buckets of the order column's hash-free prefix."""
+    from redactum.operators import reports
+
+    kind = dict(rows.dtypes)[order]
+    if n <= least:
+        bucket = F.lit(0)
+    elif kind in ("int", "bigint", "double", "float", "smallint", "tinyint"):
+        bounds = rows.approxQuantile(order, [k / 256 for k in range(1, 256)], 0.001)
+        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
+    else:  # a file name and a row number of a scan
+        bucket = F.struct(F.col(f"{order}.file_path"), F.shiftright(F.col(f"{order}.col2"), 33)) if kind.startswith("struct") else F.col(order)
+    return reports.positions(rows, bucket, order)
+
+
+def seeded_order(rows: DataFrame, head: Column, key: str, *, seed: str) -> DataFrame:
+    """rows with position: the head keeps its order by key, the tail follows in the order of sha2(seed|key). Ranked in
+    buckets of the hash's first digits."""
+    from redactum.operators import reports
+
+    order = F.when(head, F.lpad(F.col(key).cast("string"), 9, "0")).otherwise(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256))
+    rows = rows.withColumn("_o", order)
+    bucket = F.when(head, F.lit("")).otherwise(F.concat(F.lit("~"), F.substring("_o", 1, 3)))
+    return reports.positions(rows, bucket, "_o", key).drop("_o")
 
 
 def load_tasks(spark: SparkSession, paths: list[str], n: int | None = None) -> DataFrame:
@@ -54,8 +90,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """A profile artifact {profiles: {type: {canonical: row}}} as rows (type, canonical, aliases, levels, count)."""
     row = "struct<aliases:array<string>,levels:array<string>,count:double>"
     doc = spark.read.schema(f"profiles map<string,map<string,{row}>>").option("multiLine", True).json(path)
-    t = doc.select(F.explode("profiles").alias("type", "entries")).select("type", F.explode("entries").alias("canonical", "r"))
-    return t.select("type", "canonical", "r.aliases", "r.levels", "r.count")
+    return profile_rows(doc)
 
 
 def stanza_fields(text: DataFrame) -> DataFrame:
@@ -114,3 +149,45 @@ def config_hash(*columns: str) -> Column:
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Rows as JSON lines, keys sorted."""
     df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+
+
+def json_lines(df: DataFrame, key: str) -> DataFrame:
+    """(key, line): each row as one line of canonical JSON, keys sorted, nulls kept."""
+    return df.select(key, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def from_json_lines(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
+    """lines with the fields of their JSON beside them; a malformed line has null fields."""
+    return lines.select(F.col(line), F.from_json(F.col(line), schema).alias("_r")).select(line, "_r.*")
+
+
+def profile_rows(documents: DataFrame) -> DataFrame:
+    """documents (profiles: map type -> map canonical -> row) as rows (type, canonical, aliases, levels, count)."""
+    t = documents.select(F.explode("profiles").alias("type", "entries")).select("type", F.explode("entries").alias("canonical", "r"))
+    return t.select("type", "canonical", "r.aliases", "r.levels", "r.count")
+
+
+def product_rows(products: DataFrame, key: str, *, most_words: int = 4) -> DataFrame:
+    """products (key, names array). (name, products, aliases): every lower-case name without digits and of at most
+    `most_words` words, the other such names of its products, and how many products bear it."""
+    one = products.select(key, F.explode("names").alias("n")).select(key, F.lower("n").alias("name")).where(~F.col("name").rlike("[0-9]") & (F.size(F.split("name", " ")) <= most_words)).distinct()
+    other = one.select(key, F.col("name").alias("other"))
+    aliases = one.join(other, key).where("name <> other").groupBy("name").agg(F.array_sort(F.collect_set("other")).alias("aliases"))
+    return one.groupBy("name").agg(F.count("*").alias("products")).join(aliases, "name", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def term_levels(terms: DataFrame, roots: dict[str, str], depth: int = 6) -> DataFrame:
+    """terms (id, name, parents). (id, name, levels): the names of the families (roots by id) above a term, nearest
+    first, then by id; terms without a family are dropped."""
+    from redactum.operators import lattice
+
+    edges = terms.select(F.col("id").alias("child"), F.explode("parents").alias("parent"))
+    family = F.create_map(*[F.lit(x) for kv in roots.items() for x in kv])
+    up = lattice.ancestors(edges, depth).withColumn("family", family[F.col("ancestor")]).where("family IS NOT NULL")
+    levels = up.groupBy(F.col("node").alias("id")).agg(F.array_sort(F.collect_set(F.struct("hops", "ancestor", "family"))).alias("x"))
+    return terms.join(levels, "id").select("id", "name", F.array_distinct(F.transform("x", lambda i: i.family)).alias("levels"))
+
+
+def territories(documents: DataFrame, value: str = "value") -> DataFrame:
+    """(code, name) of a JSON object keyed by code; a malformed document has none."""
+    return documents.select(F.explode(F.from_json(value, "map<string,string>")).alias("code", "name")).where("name IS NOT NULL")
