@@ -47,7 +47,7 @@ def registry_outcomes(labels: DataFrame, registry: DataFrame, default: str = "un
     """labels (label) with outcome and runtime_type of the registry (family, outcome, runtime_type)."""
     f = label_family(F.col("label"))
     r = registry.select(F.col("family").alias("_f"), "outcome", "runtime_type")
-    return labels.withColumn("_l", f).join(F.broadcast(r), F.col("_l") == F.col("_f"), "left").drop("_l", "_f").fillna({"outcome": default})
+    return labels.withColumn("_l", f).join(r, F.col("_l") == F.col("_f"), "left").drop("_l", "_f").fillna({"outcome": default})
 
 
 def eligible(items: DataFrame, types: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactum.operators.reports import positions
+from redactum.operators.running import running
+
 
 def legal_actions(actions: DataFrame, claims: DataFrame) -> DataFrame:
     """actions (doc, decision, fill) whose fill, in lower case, no other decision of the document claims."""
@@ -69,10 +72,11 @@ def switch_points(hull: DataFrame, least: int = 3) -> DataFrame:
 def weighted_quantiles(values: DataFrame, qs: list[float], value: str = "lam", weight: str = "weight") -> DataFrame:
     """(q, value): the first value at which the cumulative weight reaches q of the total.
 
-    Weights are summed per value before the one ordered pass.
+    Weights are summed per value, and then over ranges of values side by side.
     """
     per = values.groupBy(value).agg(F.sum(weight).alias("w"))
-    run = per.select(value, F.sum("w").over(Window.orderBy(value)).alias("c")).crossJoin(F.broadcast(per.agg(F.sum("w").alias("t"))))
+    total = per.agg(F.sum("w").alias("t"))  # one row
+    run = running(per, value, "w").select(value, (F.col("before_w") + F.col("w")).alias("c")).join(F.broadcast(total), how="cross")
     return run.agg(*[F.min(F.when(F.col("c") >= q * F.col("t") - 1e-12, F.col(value))).alias(f"q{i}") for i, q in enumerate(qs)]).select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("value")) for i, q in enumerate(qs)])).alias("x")).select("x.*")
 
 
@@ -125,11 +129,12 @@ def delta_utility(assertions: DataFrame) -> DataFrame:
 def work_slots(requests: DataFrame, keys: list[str]) -> DataFrame:
     """requests with `slot`: equal requests share one; slots are numbered by the hash of their key.
 
-    Distinct keys are aggregated first, so the ordered numbering sees each once.
+    Distinct keys are aggregated first, so the ordered numbering sees each once, and counted by the first digits of
+    the hash, so that no task numbers them all.
     """
     h = F.sha2(F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]), 256)
     keyed = requests.withColumn("_h", h)
-    slots = keyed.select("_h").distinct().withColumn("slot", F.dense_rank().over(Window.orderBy("_h")) - 1)
+    slots = positions(keyed.select("_h").distinct(), F.substring("_h", 1, 3), "_h").withColumnRenamed("position", "slot")
     return keyed.join(slots, "_h").drop("_h")
 
 

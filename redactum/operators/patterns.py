@@ -36,20 +36,37 @@ def matches(docs: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "
 
 
 def detect(docs: DataFrame, patterns: dict[str, tuple[str, str, float]] | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, surface, type, score, source, recognizer) of every pattern's matches."""
-    out = None
-    for name, (kind, pattern, score) in (patterns or PATTERNS).items():
-        part = matches(docs, pattern, key=key, text=text).select(
-            key, "start", "end", "surface", F.lit(kind).alias("type"), F.lit(score).alias("score"), F.lit("pattern").alias("source"), F.lit(name).alias("recognizer")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(key, start, end, surface, type, score, source, recognizer) of every pattern's matches, in one scan of the texts;
+    a null text has none."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = [
+        F.when(t.rlike(pattern), _places(t, pattern, F.struct(F.lit(kind).alias("type"), F.lit(score).alias("score"), F.lit(name).alias("recognizer"))))
+        for name, (kind, pattern, score) in (patterns or PATTERNS).items()
+    ]
+    rows = docs.select(key, F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("x"))
+    return rows.select(key, "x.start", "x.end", "x.surface", "x.by.type", "x.by.score", F.lit("pattern").alias("source"), "x.by.recognizer")
+
+
+def _places(text: Column, pattern: str, by: Column) -> Column:
+    """Structs (start, end, surface, by) of a pattern's matches: a running sum over gaps and matches in one array."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("hit"))
+    none = F.array().cast("array<struct<start:int,end:int,surface:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        begin = acc.at + F.length(x.gap)
+        end = begin + F.length(x.hit)
+        more = F.concat(acc.out, F.array(F.struct(begin.alias("start"), end.alias("end"), x.hit.alias("surface"))))
+        return F.when(x.hit.isNull(), acc).otherwise(F.struct(end.alias("at"), more.alias("out")))
+
+    spans = F.aggregate(pairs, start, add).out
+    return F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.surface.alias("surface"), by.alias("by")))
 
 
 def occurrences(docs: DataFrame, needles: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, surface, start): all places of each document's own literal needles (key, surface), not overlapping."""
     pairs = docs.select(key, text).join(needles.where(F.length("surface") > 0).select(key, "surface").distinct(), key)
-    parts = pairs.select(key, "surface", F.split(text, F.concat(F.lit(r"\Q"), "surface", F.lit(r"\E"))).alias("gaps"))
+    parts = pairs.select(key, "surface", F.split(text, F.concat(F.lit(r"\Q"), F.replace("surface", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))).alias("gaps"))
     rows = parts.where(F.size("gaps") > 1).select(key, "surface", F.posexplode("gaps").alias("i", "gap"))
     w = Window.partitionBy(key, "surface").orderBy("i")
     ends = F.sum(F.length("gap")).over(w) + F.col("i") * F.length("surface")

@@ -131,13 +131,22 @@ def retrieve(queries: DataFrame, index: DataFrame, *, floor: float = 0.7, k: int
 def nearest_by_words(rows: DataFrame, key: str, words: str, *, least: float = 0.3, k: int = 3, partitions: str | None = None) -> DataFrame:
     """(key, other, jaccard): for each row its k nearest by word overlap, itself left out.
 
-    Candidates share a word (an inverted index join), so no pair without one is made.
+    Words stand in order of rarity. Two sets whose overlap is over `least` share a word of their prefixes, which leave
+    out the last ceil(least * size) - 1 words; only prefixes meet, so the common words make no pairs, and only sizes
+    that can reach `least`. Candidates are then counted whole.
     """
     by = [partitions] if partitions else []
-    size = rows.select(*by, key, F.size(words).alias("_n"), F.explode(words).alias("_w"))
-    other = size.select(*by, F.col(key).alias("other"), F.col("_n").alias("_m"), "_w")
-    shared = size.join(other, [*by, "_w"]).where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.count("*").alias("_s"), F.max("_n").alias("_n"), F.max("_m").alias("_m"))
-    j = shared.select(key, "other", (F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s"))).alias("jaccard")).where(F.col("jaccard") > least)
+    sets = rows.select(*by, key, F.array_distinct(words).alias("_s")).where(F.size("_s") > 0)
+    each = sets.select(*by, key, F.size("_s").alias("_n"), F.explode("_s").alias("_w"))
+    rarity = each.groupBy(*by, "_w").agg(F.count("*").alias("_f"))
+    ordered = each.join(rarity, [*by, "_w"]).groupBy(*by, key, "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_o"))
+    kept = F.greatest(F.lit(1), F.col("_n") - F.ceil(F.lit(least) * F.col("_n")).cast("int") + 1)
+    prefix = ordered.select(*by, key, "_n", F.transform("_o", lambda x: x["_w"]).alias("_s"), F.explode(F.transform(F.slice("_o", F.lit(1), kept), lambda x: x["_w"])).alias("_w"))
+    other = prefix.select(*by, F.col(key).alias("other"), F.col("_n").alias("_m"), F.col("_s").alias("_t"), "_w")
+    near = (F.least("_n", "_m") > least * F.greatest("_n", "_m")) & (F.col(key) != F.col("other"))
+    met = prefix.join(other, [*by, "_w"]).where(near).dropDuplicates([key, "other"])
+    common = F.size(F.array_intersect("_s", "_t"))
+    j = met.select(key, "other", (common / (F.col("_n") + F.col("_m") - common)).alias("jaccard")).where(F.col("jaccard") > least)
     return j.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("jaccard"), "other"))).where(f"_r <= {k}").drop("_r")
 
 

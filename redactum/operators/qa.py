@@ -82,7 +82,7 @@ def static_weights(assertions: DataFrame, budgets: DataFrame, structural_cap: fl
     groups = groups.withColumn("s", F.when(F.col("family") == "delivered", F.coalesce("s", F.lit(0))).otherwise(0))
     w = Window.partitionBy("family")
     total, structural = F.count("*").over(w), F.sum("s").over(w)
-    per = groups.join(F.broadcast(budgets), "family")
+    per = groups.join(budgets, "family")
     plain = F.col("budget") / total
     if structural_cap is not None:
         mass = F.least(F.col("budget") * structural_cap, F.col("budget") * structural / total)
@@ -160,22 +160,36 @@ def rouge_l_column(prediction: Column, references: Column) -> Column:
     return F.pandas_udf(rouge_l, "double")(prediction, references)
 
 
-def bootstrap_interval(values: DataFrame, value: str, samples: int = 1000, seed: int = 0) -> DataFrame:
+# fixed values: cumulative probabilities of a Poisson variable of mean 1 for 0, 1, ... 7
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+
+
+def bootstrap_interval(values: DataFrame, value: str, key: str, samples: int = 1000, seed: int = 0) -> DataFrame:
     """One row (low, high): 2.5 and 97.5 percent of resampled means, six places; zeros without values.
 
-    Poisson resampling: each row draws, from a hash of itself and the sample's number, how often it counts; sums per
-    sample are combined before they meet, so rows are never gathered.
+    Poisson resampling: each row (its key says which) draws, from an MD5 of key, seed and the sample's number, how often
+    it counts; one digest serves four samples. Sums per sample are combined before they meet, so rows are never gathered.
     """
-    rows = values.select(F.col(value).cast("double").alias("_v"), F.xxhash64(*values.columns).alias("_h"))
-    draws = rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    u = F.pmod(F.xxhash64("_h", "s", F.lit(seed)), F.lit(1 << 40)) / (1 << 40)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    n = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    means = draws.groupBy("s").agg((F.sum(F.col("_v") * n) / F.nullif(F.sum(n), F.lit(0))).alias("m"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 4)))
+    rows = values.select(F.col(value).cast("double").alias("_v"), F.col(key).cast("string").alias("_k"), blocks.alias("_b"))
+    digest = rows.withColumn("_d", F.md5(F.concat_ws("|", "_k", F.lit(str(seed)), F.col("_b").cast("string")).cast("binary")))
+    draws = digest.select("_v", "_b", "_d", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("_i")).withColumn("s", F.col("_b") * 4 + F.col("_i")).where(F.col("s") < samples)
+    u = F.conv(F.expr("substring(_d, 1 + 8 * _i, 8)"), 16, 10).cast("double") / float(1 << 32)
+    n = sum(((u >= c).cast("int") for c in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    counted = draws.select("s", "_v", n.alias("_n"))
+    means = counted.groupBy("s").agg((F.sum(F.col("_v") * F.col("_n")) / F.nullif(F.sum("_n"), F.lit(0))).alias("m"))
     edge = lambda p: F.coalesce(F.round(F.percentile("m", F.lit(p)), 6), F.lit(0.0))
     return means.agg(edge(0.025).alias("low"), edge(0.975).alias("high"))
 
 
+def bootstrap_sql(table: str, value: str, key: str, samples: int, seed: int = 0) -> str:
+    """The same in DuckDB SQL, for oracles."""
+    n = " + ".join(f"CAST(u >= {c!r} AS INTEGER)" for c in POISSON)
+    return f"""WITH d AS (SELECT CAST({value} AS DOUBLE) AS v, s, CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}|' || (s // 4)), 1 + 8 * (s % 4), 8) AS BIGINT) / 4294967296.0 AS u FROM ({table}), range({samples}) t(s)),
+m AS (SELECT s, sum(v * n) / nullif(sum(n), 0) AS m FROM (SELECT s, v, {n} AS n FROM d) GROUP BY s)
+SELECT coalesce(round(quantile_cont(m, 0.025), 6), 0.0) AS low, coalesce(round(quantile_cont(m, 0.975), 6), 0.0) AS high FROM m"""
+
+
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, start, end): touching or overlapping inclusive intervals become one."""
     w = Window.partitionBy(key).orderBy(start, end)

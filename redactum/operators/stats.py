@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactum.operators.running import running
+
 
 def hash_order(key: Column, seed: str) -> Column:
     """A fixed pseudo-random order: sha256 of seed and key. Takes the place of a seeded shuffle."""
@@ -68,11 +70,12 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def choose_threshold(pairs: DataFrame, precision: float, recall: float, label: str = "label", score: str = "score") -> DataFrame:
     """One row `threshold`: the smallest score cut whose precision and recall both suffice; null if none does.
 
-    Counts per distinct score come first; only they are ordered.
+    Counts per distinct score come first; they are summed over ranges of scores side by side.
     """
     per = pairs.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score))
-    run = per.select(score, F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("taken")).crossJoin(F.broadcast(pairs.agg(F.sum(label).alias("t"))))
+    cut = running(per, score, "pos", "n", descending=True)
+    total = pairs.agg(F.sum(label).alias("t"))  # one row
+    run = cut.select(score, (F.col("before_pos") + F.col("pos")).alias("tp"), (F.col("before_n") + F.col("n")).alias("taken")).join(F.broadcast(total), how="cross")
     ok = (F.col("tp") / F.col("taken") >= precision) & (F.col("tp") / F.col("t") >= recall)
     return run.agg(F.min(F.when(ok, F.col(score))).alias("threshold"))
 

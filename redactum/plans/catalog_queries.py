@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redactum.functions import text as T
 from redactum.operators import compiler, curation, frontier, lattice, producer, profiles, qa, reports, rewrite, segment
 from redactum.plans.base import query
+from redactum.plans.frontier_queries import SWITCH, _sky
 from redactum.plans.span_queries import _spans, with_spans
 from redactum.sources import readers
 
@@ -214,11 +215,10 @@ def _(read, spark):
     return compiler.calibration_pool(trajectories, results, targets, weights)
 
 
-@query("P17_lambda_menu")
+@query("P17_lambda_menu", f"""WITH s AS (SELECT lam, sum(weight) AS w FROM ({SWITCH}) GROUP BY lam), r AS (SELECT lam, sum(w) OVER (ORDER BY lam) AS c, sum(w) OVER () AS t FROM s)
+SELECT min(q) AS q, value FROM (SELECT CAST(q AS DOUBLE) AS q, (SELECT min(lam) FROM r WHERE c >= q * t - 1e-12) AS value FROM (VALUES (0.1), (0.3), (0.5), (0.7), (0.9)) v(q)) GROUP BY value""")
 def _(read, spark):
     """Weighted log quantiles of switch points, snapped to observed ones: a menu of trade-off weights."""
-    from redactum.plans.frontier_queries import _sky
-
     s = frontier.switch_points(frontier.upper_hull(_sky(read)))
     q = frontier.weighted_quantiles(s, [0.1, 0.3, 0.5, 0.7, 0.9])
     return q.groupBy("value").agg(F.min("q").alias("q"))
@@ -348,9 +348,9 @@ def _(read, spark):
     return producer.rejection_feedback(rows, {"error": "Level {level} is counted {count} times.", "view": "Broaden {level}."}).select("event_id", "hint")
 
 
-@query("Q20_bootstrap")
+@query("Q20_bootstrap", qa.bootstrap_sql("SELECT c_custkey, c_acctbal FROM customer", "c_acctbal", "c_custkey", 100, 3))
 def _(read, spark):
-    return qa.bootstrap_interval(read("customer").select("c_custkey", "c_acctbal"), "c_acctbal", samples=100, seed=3)
+    return qa.bootstrap_interval(read("customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", samples=100, seed=3)
 
 
 @query("M9_leakage", "SELECT doc_id, CAST(count(*) AS BIGINT) AS leaked FROM (" + with_spans("SELECT DISTINCT s.doc_id, surface FROM s JOIN documents d ON d.doc_id = s.doc_id WHERE contains(lower(text), lower(surface))") + ") GROUP BY doc_id")

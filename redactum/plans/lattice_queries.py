@@ -125,7 +125,7 @@ LEVELS = "SELECT c_custkey AS item, unnest([1, 2]) AS pos, unnest([nn, rn]) AS c
 
 
 def _levels(read):
-    c = read("customer").join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     n = c.groupBy("c_nationkey").agg(F.count("*").alias("nn"))
     r = c.groupBy("n_regionkey").agg(F.count("*").alias("rn"))
     rows = c.join(n, "c_nationkey").join(r, "n_regionkey")

@@ -159,9 +159,9 @@ def _(read, spark):
     return reports.summary(read("documents"), ["source"], mean=F.col("n_chars"))
 
 
-@query("N5_bootstrap_interval")
+@query("N5_bootstrap_interval", qa.bootstrap_sql("SELECT o_custkey, avg(o_totalprice) AS v FROM orders GROUP BY 1", "v", "o_custkey", 200))
 def _(read, spark):
-    return qa.bootstrap_interval(read("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("v")), "v", samples=200)
+    return qa.bootstrap_interval(read("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("v")), "v", "o_custkey", samples=200)
 
 
 @query("A1_interleave", "SELECT doc_id, CAST(row_number() OVER (ORDER BY r, p) - 1 AS INTEGER) AS position FROM (SELECT doc_id, doc_id % 3 AS p, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS r FROM documents)")

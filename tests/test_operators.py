@@ -20,8 +20,8 @@ def column(spark, f, *values):
 @pytest.mark.parametrize(
     ("text", "levels"),
     [
-        ("March 3, 2021", ["March 2021", "the early 2020s", "the 2020s"]), ("40", ["forty-something"]), ("May", ["the spring"]), ("thirty four years old", ["thirty-something"]),
-        ("Last spring", ["some time ago"]), ("1987", ["the late 1980s", "the 1980s"]), ("15", ["teenaged"]), ("110", None), ("banana", None), ("some week", ["at some point"]), (None, None), ("", None),
+        ("April 9, 2013", ["April 2013", "the early 2010s", "the 2010s"]), ("52", ["fifty-something"]), ("July", ["the summer"]), ("sixty one years old", ["sixty-something"]),
+        ("Last winter", ["some time ago"]), ("1987", ["the late 1980s", "the 1980s"]), ("15", ["teenaged"]), ("110", None), ("banana", None), ("some week", ["at some point"]), (None, None), ("", None),
     ],
 )
 def test_bucket_date(spark, text, levels):
@@ -31,8 +31,8 @@ def test_bucket_date(spark, text, levels):
 @pytest.mark.parametrize(
     ("text", "level"),
     [
-        ("two hundred thousand dollars", "between 100,000 and 400,000 dollars"), ("95k", "between 47,500 and 190,000"), ("$8.5 million", "between 4.25 and 17 million dollars"),
-        ("$2 billion", "between 1 and 4 billion dollars"), ("8.5M", "between 4,250,000 and 17,000,000"), ("40 milligrams", "between 20 and 80 milligrams"), ("nothing", None),
+        ("three hundred thousand dollars", "between 150,000 and 600,000 dollars"), ("70k", "between 35,000 and 140,000"), ("$6.5 million", "between 3.25 and 13 million dollars"),
+        ("$4 billion", "between 2 and 8 billion dollars"), ("6.5M", "between 3,250,000 and 13,000,000"), ("60 milligrams", "between 30 and 120 milligrams"), ("nothing", None),
     ],
 )
 def test_bucket_quantity(spark, text, level):
@@ -42,7 +42,7 @@ def test_bucket_quantity(spark, text, level):
 @pytest.mark.parametrize(
     ("fill", "kind", "original", "count"),
     [
-        ("Oslo", "LOC", "oslo", 1.0), ("a place", "LOC", "Oslo", 1e9), ("thirty-something", "DATETIME", "34", 10.0), ("between 20 and 80 milligrams", "QUANTITY", "40 milligrams", 7.0),
+        ("Ghent", "LOC", "ghent", 1.0), ("a place", "LOC", "Ghent", 1e9), ("fifty-something", "DATETIME", "52", 10.0), ("between 20 and 80 milligrams", "QUANTITY", "40 milligrams", 7.0),
         ("xyzzy blorp", "MISC", "Oslo", 1.0), ("the 2020s", "DATETIME", "March 3, 2021", 3652.0), ("teenaged", "age", "14", 7.0), ("the spring", "DATETIME", "yesterday", 1.0),
     ],
 )
@@ -62,7 +62,7 @@ def test_plural_folds_differ(spark):
 
 
 def test_dose(spark):
-    assert column(spark, T.strip_dose, ("flomax zero point four milligrams",), ("aspirin 81 milligrams daily",), ("vitamin d",)) == ["flomax", "aspirin", "vitamin d"]
+    assert column(spark, T.strip_dose, ("codeine one point five milligrams",), ("ibuprofen 400 milligrams daily",), ("zinc oxide",)) == ["codeine", "ibuprofen", "zinc oxide"]
 
 
 def test_articles_and_case(spark):
@@ -275,9 +275,9 @@ def test_fuzzy_matches(spark):
 
 
 def test_bootstrap_interval(spark):
-    low, high = qa.bootstrap_interval(spark.range(200).selectExpr("id", "cast(id as double) v").select("id", "v"), "v", samples=200).first()
+    low, high = qa.bootstrap_interval(spark.range(200).selectExpr("id", "cast(id as double) v").select("id", "v"), "v", "id", samples=200).first()
     assert 80 < low < 99.5 < high < 120
-    assert tuple(qa.bootstrap_interval(spark.range(0).selectExpr("id", "cast(id as double) v"), "v", samples=10).first()) == (0.0, 0.0)
+    assert tuple(qa.bootstrap_interval(spark.range(0).selectExpr("id", "cast(id as double) v"), "v", "id", samples=10).first()) == (0.0, 0.0)
 
 
 def test_weighted_quantiles_and_menu(spark):
