@@ -142,7 +142,7 @@ class Index:
         return [(int(self.first[s]), int(self.rows[s])) if good else (0, 0) for s, good in zip(slot, ok, strict=True)]
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """Any store that Arrow knows: local paths, file://, hdfs://, s3://."""
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
@@ -173,7 +173,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
         e = tokens.encoder(tokenizer, kind)
         tail = b"" if end_id is None else int(end_id).to_bytes(e.dtype.itemsize, "little")
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
-        store, root = _filesystem(path)
+        store, root = filesystem(path)
         keys, counts, out = [], [], None
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -200,7 +200,7 @@ class Shard:
     """An open shard: its index in memory, its ids read by offset."""
 
     def __init__(self, path: str, name: str) -> None:
-        store, root = _filesystem(path)
+        store, root = filesystem(path)
         with store.open_input_stream(f"{root}/{name}.mph") as f:
             self.index = Index.from_bytes(f.read())
         self.ids = store.open_input_file(f"{root}/{name}.ids")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactum.llm import common
+from redactum.llm.token_store import filesystem
 
 #: Vectors of an index block and queries of a query block; both bound what a task holds.
 BLOCK, QUERY_BLOCK, LANES = 8192, 1024, 256
@@ -83,6 +86,15 @@ def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def _parts(folder: str):
+    """Batches of at most QUERY_BLOCK queries of the files in a folder of the shared store."""
+    store, root = filesystem(folder)
+    for info in sorted(store.get_file_info(pafs.FileSelector(root)), key=lambda f: f.path):
+        if info.base_name.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(QUERY_BLOCK)
+
+
 def integers(vector: Column) -> Column:
     """floor(256 * x) of every component as a double."""
     return F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double")))
@@ -102,49 +114,43 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     as it stands, a repeated query row is answered as often; shorter vectors are filled with zeros. Integers must stay
     below 2^53 in sum. Other columns are ignored; an empty table gives no rows.
 
-    Candidates and queries are packed into blocks of bounded size; every pair of blocks meets in one task, which
-    returns k rows for each of its queries, and a window picks the best of these.
+    Candidates are packed into blocks of bounded size and shuffled once; queries are written once as files of bounded
+    parts, which the task of every block reads one after the other. It returns k rows for each query, and a window
+    picks the best of these.
     """
     spark = vectors.sparkSession
     x = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     x = common.materialize(x.select("vec_id", integers(F.col("v")).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     is_query = F.col("vec_id") % every == 0
     sizes = x.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.size("v")).alias("d")).first()
-    blocks, query_blocks, width = -(-sizes.n // BLOCK), -(-sizes.q // QUERY_BLOCK), max(1, sizes.d or 0)
-    pack = lambda rows, key: rows.groupBy(key).agg(F.collect_list(F.struct("vec_id", "row", "v")).alias("rows"))
-    candidates = pack(x.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, blocks))).cast("int")), "block").select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vs"))
-    queries = pack(x.where(is_query).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(max(1, query_blocks))).cast("int")), "part")
-    queries = queries.select(F.col("rows.vec_id").alias("qids"), F.col("rows.row").alias("qrows"), F.col("rows.v").alias("qs"), F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("block"))
-    pairs = candidates.join(queries, "block").select("block", "ids", "vs", "qids", "qrows", "qs")
+    blocks, width = max(1, -(-sizes.n // BLOCK)), max(1, sizes.d or 0)
+    folder = f"{common.shared_dir(spark)}/queries"
+    x.where(is_query).select("vec_id", "row", "v").repartition(max(1, -(-sizes.q // (16 * QUERY_BLOCK)))).write.parquet(folder)
+    packed = x.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    candidates = packed.select(F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vs"))
 
     def search(batches):
-        held, index = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                block, ids, vs, qids, qrows, qs = (one.column(c) for c in range(6))
-                if held != block[0].as_py():
-                    held, index = block[0].as_py(), ImpactIndex(ids.flatten().to_numpy(), _matrix(vs.flatten(), width))
-                names, rows, q = qids.flatten().to_numpy(), qrows.flatten().to_numpy(), _matrix(qs.flatten(), width)
-                for a in range(0, len(q), LANES):
-                    found = index.search(names[a : a + LANES], q[a : a + LANES], k)
-                    n = [len(p) for p, _ in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(names[a : a + LANES], n)), pa.array(np.repeat(rows[a : a + LANES], n)), pa.array(np.concatenate([index.ids[p] for p, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
-                        ["query_id", "row", "vec_id", "score"],
-                    )
-
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row holds two blocks
-    try:
-        best = common.materialize(pairs.mapInArrow(search, "query_id long, row long, vec_id long, score long"), "best")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+                index = ImpactIndex(one.column(0).flatten().to_numpy(), _matrix(one.column(1).flatten(), width))
+                for part in _parts(folder):
+                    names, rows, q = part.column("vec_id").to_numpy(), part.column("row").to_numpy(), _matrix(part.column("v"), width)
+                    for a in range(0, len(q), LANES):
+                        found = index.search(names[a : a + LANES], q[a : a + LANES], k)
+                        n = [len(p) for p, _ in found]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(names[a : a + LANES], n)), pa.array(np.repeat(rows[a : a + LANES], n)), pa.array(np.concatenate([index.ids[p] for p, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
+                            ["query_id", "row", "vec_id", "score"],
+                        )
+
+    best = candidates.mapInArrow(search, "query_id long, row long, vec_id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all embeddings for every query row; see top_k() for hostile rows."""
     return top_k(common.read_table(spark, sf_dir, "embeddings"))
 
 
