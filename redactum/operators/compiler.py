@@ -44,7 +44,7 @@ def hedged_window(text: Column, spans: Column, relation: Column) -> Column:
 def negated_before(text: Column, start: Column) -> Column:
     """A negation stands within SCOPE characters before the argument, in its own sentence."""
     before = F.substring(text, F.greatest(start - SCOPE, F.lit(0)) + 1, F.least(start, F.lit(SCOPE)))
-    return F.coalesce(before.rlike(SCOPE_NEGATION + r"(?!.*" + SCOPE_NEGATION[4:] + r")[^.?!]*$"), F.lit(False))
+    return F.coalesce(before.rlike(SCOPE_NEGATION + r"[^.?!]*$"), F.lit(False))
 
 
 def junk_pair(text: Column, first: Column, second: Column, relation: Column, same_class: Column) -> Column:
