@@ -194,7 +194,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     rows = common.materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")  # both sides of the join see the same numbers
     each = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     report = _by_row(each, items, "item_id", "text", window, share)
-    bad = report.where("contaminated").select(F.col("row").alias("_bad"))
+    bad = common.materialize(report.where("contaminated").select(F.col("row").alias("_bad")), "contaminated")
+    if bad.count() <= BROADCAST_ROWS:  # row numbers only; beyond that the join shuffles by them, which no key makes hot
+        bad = F.broadcast(bad)
     return rows.join(bad, rows[number] == bad["_bad"], "left_anti").drop(number)
 
 
