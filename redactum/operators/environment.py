@@ -50,15 +50,19 @@ def mapping_errors(decisions: DataFrame, policy: DataFrame, key: str) -> DataFra
 
 def structural_alternatives(actions: DataFrame, selected: DataFrame) -> DataFrame:
     """actions (decision, action, mode, index), selected (decision, action). (decision, action): for a selected level its
-    neighbours in authored order and both ends keep and placeholder; for an end the level next to it and the other end."""
+    neighbours in authored order and both ends keep and placeholder; for an end the level next to it and the other end.
+
+    Rows meet by decision once, and the selected action's place is taken from within the decision. Levels usually come
+    from an explode, of which size estimates know nothing, so the join is a merge join and no side reaches the driver."""
     w = Window.partitionBy("decision", "mode").orderBy("index")
     n = F.count("*").over(Window.partitionBy("decision", "mode"))
-    rows = actions.withColumns({"_r": F.when(F.col("mode") == "level", F.row_number().over(w)), "_n": n})
-    s = selected.select(F.col("decision").alias("_d"), F.col("action").alias("_a"))
-    chosen = rows.join(s, (rows["decision"] == s["_d"]) & (rows["action"] == s["_a"])).select(F.col("decision").alias("_d"), F.col("action").alias("_s"), F.col("mode").alias("_m"), F.col("_r").alias("_at"))
-    both = rows.join(chosen, rows["decision"] == chosen["_d"]).where("action <> _s")
-    level = F.col("mode") == "level"
-    near = F.when(F.col("_m") == "level", ~level | (F.abs(F.col("_r") - F.col("_at")) == 1)).when(F.col("_m") == "keep", ~level | (F.col("_r") == 1)).otherwise(~level | (F.col("_r") == F.col("_n")))
+    rows = actions.select("decision", "action", "mode", "index").repartition("decision").withColumns({"_r": F.when(F.col("mode") == "level", F.row_number().over(w)), "_n": n})
+    s = selected.select("decision", F.col("action").alias("_s")).withColumn("_k", F.monotonically_increasing_id())
+    same = Window.partitionBy("decision", "_k")
+    chosen = F.collect_list(F.when(F.col("action") == F.col("_s"), F.struct("mode", "_r"))).over(same)
+    both = rows.join(s.hint("merge"), "decision").withColumn("_c", chosen).withColumn("_c", F.explode("_c")).where("action <> _s")
+    level, at = F.col("mode") == "level", F.col("_c.mode")
+    near = F.when(at == "level", ~level | (F.abs(F.col("_r") - F.col("_c._r")) == 1)).when(at == "keep", ~level | (F.col("_r") == 1)).otherwise(~level | (F.col("_r") == F.col("_n")))
     return both.where(near).select("decision", "action")
 
 
