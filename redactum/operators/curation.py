@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,46 +137,145 @@ def prose_list(items: Column) -> Column:
 
 
 # fuzzy scores
+#: difflib treats frequent characters of a second text of so many characters or more as junk.
+JUNK_FROM = 200
+#: Texts of fewer characters are bounded in plain Python, as arrays would cost more, and windows of as short texts kept.
+SHORT = 400
+
+
 def ratio(a: str, b: str) -> float:
+    """difflib's ratio, junk heuristic included."""
+    if len(a) < JUNK_FROM and len(b) < JUNK_FROM:
+        return short_ratio(a, b)
     from difflib import SequenceMatcher
 
     return SequenceMatcher(None, a, b).ratio()
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with an equally long stretch of the longer one."""
+@lru_cache(1 << 15)
+def short_ratio(a: str, b: str) -> float:
+    """difflib's ratio where it knows no junk: the longest common stretch, earliest in a and then in b, and so on to both
+    sides of it; found by growing a stretch of a as long as b holds it."""
+    if not a and not b:
+        return 1.0
+    total, rest = 0, [(0, len(a), 0, len(b))]
+    while rest:
+        i, end, low, high = rest.pop()
+        first, size, at, place = i, 0, 0, 0
+        while i + size < end:
+            j = b.find(a[i : i + size + 1], low, high)
+            if j < 0:
+                i += 1
+            else:
+                size, at, place = size + 1, i, j
+        if size:
+            total += size
+            rest += ((first, at, low, place), (at + size, end, place + size, high))
+    return 2.0 * total / (len(a) + len(b))
+
+
+def shared_characters(a: str, b: str) -> list[int] | np.ndarray:
+    """For each stretch of b that is as long as a: how many characters it shares with a, in whatever order."""
+    n, most = len(a), Counter(a)
+    if len(b) < SHORT:
+        lack, shared, out = dict(most), 0, []  # lack: what the stretch still lacks of a character, below 0 what it has too many
+        for i, c in enumerate(b):
+            if c in lack:
+                shared += lack[c] > 0
+                lack[c] -= 1
+            if i >= n and (gone := b[i - n]) in lack:
+                lack[gone] += 1
+                shared -= lack[gone] > 0
+            if i >= n - 1:
+                out.append(shared)
+        return out
+    x = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.zeros(len(b) - n + 1, np.int32)
+    for c, m in most.items():
+        seen = np.concatenate(([0], np.cumsum(x == ord(c), dtype=np.int32)))
+        out += np.minimum(seen[n:] - seen[:-n], m)
+    return out
+
+
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the shorter text with an equally long stretch of the longer one; `least` if none is above it."""
     if len(a) > len(b):
         a, b = b, a
     n = len(a)
     if n == 0:
         return 1.0
-    # characters that a stretch shares with the shorter text, in whatever order, bound what can match
-    x = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
-    shared = np.zeros(len(b) - n + 1, np.int32)
-    for c, most in Counter(a).items():
-        seen = np.concatenate(([0], np.cumsum(x == ord(c), dtype=np.int32)))
-        shared += np.minimum(seen[n:] - seen[:-n], most)
-    best = 0.0
-    for i in np.argsort(-shared, kind="stable").tolist():
+    # what a stretch shares bounds what can match
+    shared = shared_characters(a, b)
+    order = sorted(range(len(shared)), key=shared.__getitem__, reverse=True) if isinstance(shared, list) else np.argsort(-shared, kind="stable").tolist()
+    best = least
+    for i in order:
         if shared[i] / n <= best:
             break
         best = max(best, ratio(a, b[i : i + n]))
     return best
 
 
+def contained(a: str, b: str, least: float = 0.0) -> float:
+    """containment() of two lower-case texts where it is above `least`, else `least` or less."""
+    if a and a in b:
+        return 1.0
+    x, y = set(re.findall("[a-z0-9]+", a)), set(re.findall("[a-z0-9]+", b))
+    shared = " ".join(sorted(x & y))
+    token = max(ratio(shared, " ".join(sorted(x))), ratio(shared, " ".join(sorted(y)))) if shared else 0.0
+    return max(token, partial_ratio(a, b, max(token, least)))
+
+
 def containment(surface: pd.Series, text: pd.Series) -> pd.Series:
     """1 for a substring without regard to case, else the better of partial ratio and token set ratio, both over words."""
-    out = []
-    for s, t in zip(surface, text, strict=True):
-        a, b = (s or "").lower(), (t or "").lower()
-        if a and a in b:
-            out.append(1.0)
-            continue
-        x, y = set(re.findall("[a-z0-9]+", a)), set(re.findall("[a-z0-9]+", b))
-        shared = " ".join(sorted(x & y))
-        token = max(ratio(shared, " ".join(sorted(x))), ratio(shared, " ".join(sorted(y)))) if shared else 0.0
-        out.append(max(token, partial_ratio(a, b)))
-    return pd.Series(out, dtype="float64")
+    return pd.Series([contained((s or "").lower(), (t or "").lower()) for s, t in zip(surface, text, strict=True)], dtype="float64")
+
+
+def windows_of(phrase: str, words: tuple[str | None, ...], shorter: int, longer: int, keep: int) -> list[tuple[str, float, int, int]]:
+    """The `keep` best windows of the words for a phrase: (window, score, words in it, place from 1), best first.
+
+    A window has `shorter` fewer to `longer` more words than the phrase; equal scores go to the shorter, then the earlier
+    window. Windows come in that order, so one that cannot pass the last of the best needs no ratio."""
+    a, n, best = phrase.lower(), len(phrase.split(" ")), []
+    for k in range(max(1, n - shorter), min(n + longer, len(words)) + 1):
+        for at in range(len(words) - k + 1):
+            least = -best[-1][0] if len(best) == keep else -1.0
+            if least >= 1.0:
+                return [(w, -s, k, at) for s, k, at, w in best]
+            window = " ".join(w for w in words[at : at + k] if w is not None)
+            score = contained(a, window.lower(), max(least, 0.0))
+            if score > least:
+                bisect.insort(best, (-score, k, at + 1, window))
+                del best[keep:]
+    return [(w, -s, k, at) for s, k, at, w in best]
+
+
+@lru_cache(1 << 12)
+def kept_windows(phrase: str, words: tuple[str | None, ...], shorter: int, longer: int, keep: int) -> list[tuple[str, float, int, int]]:
+    return windows_of(phrase, words, shorter, longer, keep)
+
+
+def best_windows(phrase: Column, words: Column, *, shorter: int = 2, longer: int = 4, keep: int = 12) -> Column:
+    """windows_of() as array<struct<window, score, k, at>>, scored as containment(); null where the phrase or the words are,
+    and null words are left out of a window's text but hold their place."""
+
+    def run(phrases: pa.Array, texts: pa.Array) -> pa.Array:
+        rows, counts = [], []
+        for p, w in zip(phrases.to_pylist(), texts.to_pylist(), strict=True):
+            if p is None or w is None:
+                counts.append(None)
+                continue
+            f = kept_windows if len(p) + sum(len(x or "") + 1 for x in w) < SHORT else windows_of
+            found = f(p, tuple(w), shorter, longer, keep)
+            rows += found
+            counts.append(len(found))
+        ends = np.cumsum([0] + [c or 0 for c in counts])
+        offsets = pa.array([None if c is None else o for c, o in zip(counts, ends.tolist())] + [int(ends[-1])], pa.int32())
+        kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["window", "score", "k", "at"]))
+
+    # else the optimizer runs it once more for a filter of its own under the explode
+    return F.arrow_udf(run, "array<struct<window:string,score:double,k:int,at:int>>").asNondeterministic()(phrase, words)
 
 
 def containment_column(surface: Column, text: Column) -> Column:
