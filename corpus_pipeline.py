@@ -37,8 +37,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 2048 tokens."""
-    return packing.pack(docs, common.tokenizer_path("byte_bpe_50k.json"))
+    """The pieces of all documents, packed into sequences of at most 2048 tokens.
+
+    The executor's heap has grown in the stages before and stays so; beside it the workers encode in small parts."""
+    return packing.pack(docs, common.tokenizer_path("byte_bpe_50k.json"), batch_rows=500, batch_bytes=2_000_000, held=50_000)
 
 
 STAGES = [

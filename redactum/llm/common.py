@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -53,6 +54,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """While it lasts, what runs hands workers at most so many rows at once (None: as the session has it)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before if rows is None else str(rows))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Rounds:
     """Tables written round by round; a round's table goes once two later ones stand, as no plan reads it any more."""
 

@@ -93,20 +93,20 @@ class Placement:
         return first + j // m, offset + j % m * length
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, id_col: str, text_col: str, kind: str, with_ids: bool) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, id_col: str, text_col: str, kind: str, with_ids: bool, batch_bytes: int | None = None, held: int | None = None) -> DataFrame:
     """Pieces of each document with a rank among the equally long pieces of the same task."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        e = tokens.encoder(tokenizer, kind)
+        e = tokens.encoder(tokenizer, kind, limit=held)
         w = e.dtype.itemsize
         tail = int(end_id).to_bytes(w, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, texts in tokens.slices(batch.column(1), tokens.ENCODE_BATCH):
+            for a, b, texts in tokens.slices(batch.column(1), batch_bytes or tokens.ENCODE_BATCH):
                 out: list[list] = [[] for _ in range(7)]
                 for key, ids in zip(keys[a:b], e.encode(texts), strict=True):
                     ids += tail
@@ -126,13 +126,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int,
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids", "part"]
                 keep = [i for i in range(8) if with_ids or i != 6]
                 yield pa.RecordBatch.from_arrays([arrays[i] for i in keep], [names[i] for i in keep])
+        tokens.trim()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * with_ids + ", part int"
     return rows.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kind: str = "spaced", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kind: str = "spaced", with_ids: bool = False, batch_rows: int | None = None, batch_bytes: int | None = None, held: int | None = None) -> DataFrame:
     """Pack all documents into as few sequences of at most `capacity` tokens as minimum bin slack finds.
 
     A document is its ids and then `end_id`; only longer ones are cut, into pieces of `capacity` tokens of which the
@@ -144,9 +145,15 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     Pieces are written once to shared storage; only the histogram of their lengths (at most `capacity` rows) reaches
     the driver, and the plan it yields is bounded likewise. A piece finds its place by its rank among equal lengths: its
     rank in its task plus the counts of earlier tasks, so that no length is gathered in one task.
+
+    A worker gets `batch_rows` rows at once, encodes `batch_bytes` of text together (at least one text) and holds `held`
+    pieces already encoded; less of any takes less memory and more time and gives the same ids. None: as the session has
+    it, tokens.ENCODE_BATCH and tokens.TABLE_LIMIT.
     """
     spark = docs.sparkSession
-    pieces = common.materialize(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, kind=kind, with_ids=with_ids), "pieces")
+    cut = token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, kind=kind, with_ids=with_ids, batch_bytes=batch_bytes, held=held)
+    with common.arrow_rows(spark, batch_rows):
+        pieces = common.materialize(cut, "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {int(r.length): int(r.n) for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placement = spark.sparkContext.broadcast(Placement(plan(histogram, capacity)))

@@ -32,7 +32,7 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Letters a token, over the lower-case words of an identifier, above which it is one; random letters stay below.
 WORD_RATIO = 2.3
 
-_ENCODINGS: dict[str, object] = {}
+_ENCODINGS: dict[str, object] = tokens.held({})
 
 
 def _encoding(path: str):
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     """
 
     def run(batches):
-        tokens.release()
+        tokens.release(_ENCODINGS)
         encoding = _encoding(vocabulary)
         for batch in batches:
             keys = batch.column(0)
@@ -160,7 +160,7 @@ def mask_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches):
-        tokens.release()
+        tokens.release(_ENCODINGS)
         encoding = _encoding(vocabulary)
         for batch in batches:
             for a, b, texts in tokens.slices(batch.column(at), 2_000_000, nulls=True):

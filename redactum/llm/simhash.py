@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for a, b, texts in tokens.slices(batch.column(1), 2_000_000):
                 fp = fingerprints(texts, words_per_shingle=words_per_shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(fp.view(np.int64)), batch.column(2)[a:b]], ["doc_id", "fp", "text_hash"])
+        tokens.trim()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = common.materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long"), "fingerprints")

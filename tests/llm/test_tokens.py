@@ -195,3 +195,27 @@ def test_plan_places_every_piece_once():
     place = packing.Placement(steps)
     seen = {(b, o + d) for n, c in histogram.items() for i in range(c) for b, o in [place.place(n, i)] for d in range(n)}
     assert len(seen) == sum(n * c for n, c in histogram.items()) and max(o for _, o in seen) < 64
+
+
+def test_small_parts_pack_alike(spark):
+    from redactum.llm import packing
+
+    rows = [(i, None if i == 7 else " ".join(f"w{(i * j) % 97}x" for j in range(i % 50))) for i in range(400)] + [(3, "w1x long " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert key(packing.pack(docs, path, batch_rows=16, batch_bytes=500, held=5)) == key(packing.pack(docs, path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_new_table_takes_the_place_of_what_is_held():
+    from redactum.llm import secrets, tokens
+
+    secrets._encoding(common.tokenizer_path("byte_bpe_50k.tiktoken"))
+    first = tokens.encoder(common.tokenizer_path("byte_bpe_50k.json"), "spaced")
+    assert not secrets._ENCODINGS
+    assert tokens.encoder(common.tokenizer_path("byte_bpe_50k.json"), "spaced") is first
+    secrets._encoding(common.tokenizer_path("byte_bpe_50k.tiktoken"))
+    tokens.release(secrets._ENCODINGS)
+    assert secrets._ENCODINGS and not tokens._TABLES
